@@ -52,7 +52,7 @@ def with_instant(
     dates without a time stand for 00:00 UTC, small numbers are spreadsheet days, and `locale` orders day and
     month (en-US: month first). Impossible dates, unknown zones, empty texts and nulls give null.
     """
-    text = F.trim(F.regexp_replace(F.col(raw), r"[   ]", " "))
+    text = F.trim(F.regexp_replace(F.col(raw), r"[\u00a0\u2007\u202f]", " "))
     cases = list(_STAMPS)
     if day_column:
         cases += _DAYS

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sightline.operators import badrows, drift
 from sightline.operators.timestamps import InstantDictionary
-from sightline.session import load, work_path
+from sightline.session import load, materialize, work_path
+from sightline.sources import exports
 
 _CANONICAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"
 
@@ -28,5 +30,37 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.normalize(every).where("utc_ms IS NOT NULL").groupBy("table_name", "row_key").agg(F.min("utc_ms").alias("utc_ms"))
 
 
-QUERIES = {"p5_found": p5_found}
+def _records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Headers and records of all exports."""
+    lines, terms = exports.distinct_lines(load(spark, sf_dir, "bing_export_lines")), load(spark, sf_dir, "export_header_terms")
+    headers = materialize(exports.find_headers(lines, terms), "headers")
+    return headers, exports.read_records(lines, terms, headers)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Export lines that can't be read, with the first reason."""
+    _, records = _records(spark, sf_dir)
+    return badrows.failed_rows(records, badrows.rule_table(spark)).select("export_id", F.col("line_no").cast("int").alias("line_no"), "reason")
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Headers of all exports, and their readable lines in the target schema."""
+    headers, records = _records(spark, sf_dir)
+    records = materialize(records, "records")
+    return headers, drift.ingest(badrows.clean_rows(records, badrows.failed_rows(records, badrows.rule_table(spark))))
+
+
+def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All readable export lines in one typed table: unknown and uncastable values rescued, `device` and `market` promoted."""
+    _, table = _ingested(spark, sf_dir)
+    return drift.promote(drift.promote(table, "device", "string"), "market", "string").drop("_kinds")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header and kind changes of each export against the one before."""
+    headers, table = _ingested(spark, sf_dir)
+    return drift.changes(load(spark, sf_dir, "bing_exports"), headers, drift.column_kinds(table))
+
+
+QUERIES = {"p4_found": p4_found, "p4_table": p4_table, "p5_found": p5_found, "p6_found": p6_found}
 ORACLES: dict[str, str] = {}
