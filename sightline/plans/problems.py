@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.operators import badrows, drift
+from sightline.operators import badrows, drift, loglines
 from sightline.operators.timestamps import InstantDictionary
 from sightline.session import load, materialize, work_path
 from sightline.sources import exports
@@ -13,6 +13,11 @@ from sightline.sources import exports
 _CANONICAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for every log entry."""
+    return loglines.found_form(loglines.parse_entries(load(spark, sf_dir, "crawler_log_lines"), load(spark, sf_dir, "log_files")))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instants of all texts that are not canonical yet, one row per table and key."""
 
@@ -62,5 +67,5 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.changes(load(spark, sf_dir, "bing_exports"), headers, drift.column_kinds(table))
 
 
-QUERIES = {"p4_found": p4_found, "p4_table": p4_table, "p5_found": p5_found, "p6_found": p6_found}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_table": p4_table, "p5_found": p5_found, "p6_found": p6_found}
 ORACLES: dict[str, str] = {}
