@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sightline.plans import problems
+from sightline.plans import logs, problems
+
+_MODULES = [problems, logs]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return problems.QUERIES
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return problems.ORACLES
+    return {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
