@@ -53,42 +53,70 @@ def _hint(df: DataFrame, row_bytes: int) -> DataFrame:
 
 
 def anchors(items: DataFrame, frequency: DataFrame, passage: int = PASSAGE) -> DataFrame:
-    """(item_id, pos, term): positions of item words of which every passage holds one, the rarest of each passage.
+    """(item_id, pos, term, pos2, term2): the two rarest words of each passage of each item, the rarest first.
 
     `items` has item_id, pos, term; `frequency` term, df. Passages with a word that no document has are left out.
     """
     known = items.join(frequency, "term", "left")
     ahead = Window.partitionBy("item_id").orderBy("pos").rowsBetween(0, passage - 1)
-    windows = known.withColumn("n", F.count("*").over(ahead)).withColumn("found", F.count("df").over(ahead)).withColumn("rarest", F.min(F.struct("df", "pos", "term")).over(ahead))
-    return windows.where((F.col("n") == passage) & (F.col("found") == passage)).select("item_id", "rarest.pos", "rarest.term").distinct()
+    windows = known.withColumn("found", F.count("df").over(ahead)).withColumn("r", F.array_sort(F.collect_list(F.struct("df", "pos", "term")).over(ahead)))
+    rare = windows.where((F.col("found") == passage) & (F.size("r") == passage))
+    second = F.col("r")[1] if passage > 1 else F.col("r")[0]
+    return rare.select("item_id", F.col("r")[0]["pos"].alias("pos"), F.col("r")[0]["term"].alias("term"), second["pos"].alias("pos2"), second["term"].alias("term2")).distinct()
 
 
 def exact_passages(index: PositionalIndex, item_texts: DataFrame, passage: int = PASSAGE) -> DataFrame:
     """(doc_id, item_id, longest, doc_pos, item_pos): documents that hold `passage` or more consecutive words of an item.
 
     `item_texts` has item_id and text. The postings of each passage's rarest word propose an alignment of item and
-    document; the lists of the words around it, moved by their offset, are intersected with the document's, and runs of
-    `passage` consecutive hits are leaks. One row a document and item, its longest run first found. Items of fewer
-    words have none. Null texts have no words.
+    document, the second rarest word's list, moved by its offset, thins the alignments out, and for those left the lists of
+    all words around are intersected: runs of `passage` consecutive hits are leaks. One row a document and item with its
+    longest run, the first of equals. Items of fewer words have none; null texts have no words.
     """
     item_terms = materialize(terms(item_texts, "item_id", "text", "item_id"), "item-terms")
-    wanted = materialize(item_terms.select("term").distinct(), "wanted")
-    postings = index.postings().join(_hint(wanted, 40), "term", "left_semi")
-    frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
+    wanted = _hint(materialize(item_terms.select("term").distinct(), "wanted"), 40)
+    frequency = index.postings().join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     rare = materialize(anchors(item_terms, frequency, passage), "anchors")
-    hits = index.postings().join(_hint(rare.withColumnRenamed("pos", "item_pos"), 64), "term")
-    aligned = hits.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos")
-    # the words around each anchor, where the alignment expects them
-    near = F.explode(F.sequence(F.greatest(F.col("item_pos") - (passage - 1), F.lit(0)), F.col("item_pos") + (passage - 1)))
-    return _runs(aligned, near, item_terms, postings, passage)
 
+    hits = index.postings().join(_hint(rare.withColumnRenamed("pos", "item_pos"), 80), "term").withColumn("shift", F.col("pos") - F.col("item_pos"))
+    second = hits.select("doc_id", "item_id", "shift", "item_pos", (F.col("shift") + F.col("pos2")).alias("pos"), F.col("term2").alias("term"))
+    second_terms = _hint(materialize(rare.select(F.col("term2").alias("term")).distinct(), "second-terms"), 40)
+    both = second.join(index.postings().join(second_terms, "term", "left_semi"), ["doc_id", "pos", "term"]).select("doc_id", "item_id", "shift", "item_pos").distinct()
+    aligned = materialize(both, "alignments")
 
-def _runs(aligned: DataFrame, near, item_terms: DataFrame, postings: DataFrame, passage: int) -> DataFrame:
-    expected = aligned.select("doc_id", "item_id", "shift", near.alias("item_pos")).where(F.col("shift") + F.col("item_pos") >= 0)
-    item_side = _hint(item_terms.select("item_id", F.col("pos").alias("item_pos"), "term"), 64)
+    # the words around each anchor, where the alignment expects them
+    around = F.explode(F.sequence(F.greatest(F.col("item_pos") - (passage - 1), F.lit(0)), F.col("item_pos") + (passage - 1)))
+    expected = aligned.select("doc_id", "item_id", "shift", around.alias("item_pos")).distinct().where(F.col("shift") + F.col("item_pos") >= 0)
+    item_side = _hint(item_terms.withColumnRenamed("pos", "item_pos"), 64)
     expected = expected.join(item_side, ["item_id", "item_pos"]).select("doc_id", (F.col("shift") + F.col("item_pos")).alias("pos"), "term", "item_id", "item_pos", "shift")
-    met = expected.join(postings, ["doc_id", "pos", "term"]).select("doc_id", "item_id", "shift", "item_pos").distinct()
+    documents = _hint(materialize(aligned.select("doc_id").distinct(), "aligned-documents"), 40)
+    lists = index.postings().join(documents, "doc_id", "left_semi")
+    met = expected.join(lists, ["doc_id", "pos", "term"]).select("doc_id", "item_id", "shift", "item_pos").distinct()
     line = Window.partitionBy("doc_id", "item_id", "shift").orderBy("item_pos")
-    runs = met.withColumn("run", F.col("item_pos") - F.row_number().over(line)).groupBy("doc_id", "item_id", "shift", "run").agg(F.count("*").alias("n"), F.min("item_pos").alias("item_pos"))
-    best = runs.where(F.col("n") >= passage).groupBy("doc_id", "item_id").agg(F.max(F.struct("n", -F.col("item_pos"), "shift")).alias("b"))
-    return best.select("doc_id", "item_id", F.col("b.n").alias("longest"), (F.col("b.shift") - F.col("b.col2")).cast("int").alias("doc_pos"), (-F.col("b.col2")).cast("int").alias("item_pos"))
+    runs = met.withColumn("run", F.col("item_pos") - F.row_number().over(line)).groupBy("doc_id", "item_id", "shift", "run").agg(F.count("*").alias("n"), F.min("item_pos").alias("first"))
+    best = runs.where(F.col("n") >= passage).groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("n"), (-F.col("first")).alias("back"), (-F.col("shift")).alias("unshift"))).alias("b"))
+    return best.select("doc_id", "item_id", F.col("b.n").alias("longest"), (-F.col("b.unshift") - F.col("b.back")).cast("int").alias("doc_pos"), (-F.col("b.back")).cast("int").alias("item_pos"))
+
+
+def proximity_matches(index: PositionalIndex, item_texts: DataFrame, window: int = 24, least: int = 10) -> DataFrame:
+    """(doc_id, item_id, terms_met, doc_pos): documents where `least` different words of an item lie within `window` words.
+
+    Finds passages with words inserted, left out or moved, which exact_passages cuts short. The places proposed are those
+    of the rarest word of each run of `least` item words; around each, distinct item words within the window before and
+    after are counted from the postings. One row a document and item, its best place, the first of equals.
+    """
+    item_terms = materialize(terms(item_texts, "item_id", "text", "item_id"), "item-terms")
+    wanted = _hint(materialize(item_terms.select("term").distinct(), "wanted"), 40)
+    relevant = index.postings().join(wanted, "term", "left_semi")
+    rare = materialize(anchors(item_terms, relevant.groupBy("term").agg(F.count("*").alias("df")), least), "anchors")
+    places = index.postings().join(_hint(rare.select("item_id", "term").distinct(), 64), "term").select("doc_id", "item_id", F.col("pos").alias("at")).distinct()
+    places = materialize(places, "places").withColumn("cell", F.explode(F.array(*[F.floor(F.col("at") / window) + k for k in (-1, 0, 1)])))
+    documents = _hint(materialize(places.select("doc_id").distinct(), "place-documents"), 40)
+    lists = relevant.join(documents, "doc_id", "left_semi").withColumn("cell", F.floor(F.col("pos") / window))
+    near = places.join(lists, ["doc_id", "cell"]).where(F.abs(F.col("pos") - F.col("at")) < window)
+    met = near.join(_hint(item_terms.select("item_id", "term").distinct(), 48), ["item_id", "term"])
+    # both halves around a place may not count together: the window lies before it or after it
+    side = F.explode(F.when(F.col("pos") == F.col("at"), F.array(F.lit(0), F.lit(1))).when(F.col("pos") > F.col("at"), F.array(F.lit(1))).otherwise(F.array(F.lit(0))))
+    counts = met.select("doc_id", "item_id", "at", "term", side.alias("side")).distinct().groupBy("doc_id", "item_id", "at", "side").agg(F.count("*").alias("n"))
+    best = counts.where(F.col("n") >= least).groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("n"), (-F.col("at")).alias("back"))).alias("b"))
+    return best.select("doc_id", "item_id", F.col("b.n").alias("terms_met"), (-F.col("b.back")).cast("int").alias("doc_pos"))

@@ -75,13 +75,25 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.exact_passages(index, load(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
+def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents where ten words of an evaluation item lie within 24 words, in any order."""
+    index = leakage.PositionalIndex(spark, work_path(spark, "postings"))
+    index.add(load(spark, sf_dir, "documents"))
+    return leakage.proximity_matches(index, load(spark, sf_dir, "eval_items"))
+
+
+def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text in its one form."""
+    return canonical.canonicalize(load(spark, sf_dir, "documents"), "text", "form").select("doc_id", "form")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents that look the same but differ in code points."""
     _, members = canonical.equal_looking(load(spark, sf_dir, "documents"), "doc_id", "text")
     return canonical.equal_looking_pairs(members).select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p3_found": p3_found, "p7_found": p7_found, "p8_packed": p8_packed, "p8_summary": p8_summary, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p3_found": p3_found, "p7_found": p7_found, "p8_packed": p8_packed, "p8_summary": p8_summary, "p9_found": p9_found, "p9_near": p9_near, "p10_found": p10_found, "p10_forms": p10_forms}
 ORACLES: dict[str, str] = {}
 
 
