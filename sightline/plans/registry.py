@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sightline.plans import logs, problems
+from sightline.plans import logs, panel, problems
 
-_MODULES = [problems, logs]
+_MODULES = [problems, logs, panel]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
