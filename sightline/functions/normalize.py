@@ -98,9 +98,16 @@ def word_tokens(text: Column, least: int = 2) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"([\p{{L}}\p{{N}}]{{{least},}})"), F.lit(1))))
 
 
-def shingles(text: Column, size: int = 5) -> Column:
-    """Runs of `size` consecutive words, joined by blanks, each once; none for shorter texts."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}][\p{L}\p{N}'_-]*)"), F.lit(1))
+def running_words(text: Column) -> Column:
+    """The words of a text in order, in lower case; apostrophes, hyphens and underscores inside words belong to them."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}][\p{L}\p{N}'_-]*)"), F.lit(1))
+
+
+def shingles(words: Column, size: int = 5) -> Column:
+    """Runs of `size` consecutive words, joined by blanks, each once; none for fewer words.
+
+    `words` should be a column of its own, from running_words, as an expression would be evaluated for each run.
+    """
     starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - (size - 1))).otherwise(F.array().cast("array<int>"))
     return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, size), " ")))
 

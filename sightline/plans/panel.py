@@ -194,7 +194,7 @@ ORACLES = {
         hh AS (SELECT panel_id, out, sum(n * n) / sum(n) ^ 2 AS x FROM r GROUP BY 1, 2) SELECT panel_id, round(min(x), 9) hhi_min, round(max(x), 9) hhi_max, count(*) units FROM hh GROUP BY 1""",
     "a24_provider_divergence": _CTE + f""", n AS (SELECT provider, prompt_id, domain, count(*) n FROM c WHERE provider IS NOT NULL GROUP BY ALL), pool AS (SELECT provider, domain, sum(n) / sum(sum(n)) OVER (PARTITION BY provider) AS share FROM n GROUP BY 1, 2),
         each AS (SELECT provider, prompt_id, domain, n / sum(n) OVER (PARTITION BY provider, prompt_id) AS share FROM n), pairs AS (SELECT a.provider side_a, b.provider side_b FROM (SELECT DISTINCT provider FROM n) a, (SELECT DISTINCT provider FROM n) b WHERE a.provider < b.provider),
-        pd AS (SELECT side_a, side_b, domain, coalesce(a.share, 0) p, coalesce(b.share, 0) q FROM pairs, (SELECT DISTINCT domain FROM n) d LEFT JOIN pool a ON a.provider = side_a AND a.domain = d.domain LEFT JOIN pool b ON b.provider = side_b AND b.domain = d.domain),
+        pd AS (SELECT side_a, side_b, d.domain, coalesce(a.share, 0) p, coalesce(b.share, 0) q FROM pairs, (SELECT DISTINCT domain FROM n) d LEFT JOIN pool a ON a.provider = side_a AND a.domain = d.domain LEFT JOIN pool b ON b.provider = side_b AND b.domain = d.domain),
         pooled AS (SELECT side_a, side_b, count(*) FILTER (p > 0 AND q > 0) shared_items, count(*) FILTER (p > 0 AND q > 0) / count(*) FILTER (p > 0 OR q > 0) pooled_jaccard, greatest(0, least(1, {_JSD})) pooled_divergence FROM pd GROUP BY 1, 2),
         uu AS (SELECT side_a, side_b, x.prompt_id FROM pairs JOIN (SELECT DISTINCT provider, prompt_id FROM n) x ON x.provider = side_a JOIN (SELECT DISTINCT provider, prompt_id FROM n) y ON y.provider = side_b AND y.prompt_id = x.prompt_id),
         ud AS (SELECT side_a, side_b, prompt_id, domain, sum(CASE WHEN provider = side_a THEN share ELSE 0 END) p, sum(CASE WHEN provider = side_b THEN share ELSE 0 END) q FROM uu JOIN each USING (prompt_id) WHERE provider IN (side_a, side_b) GROUP BY ALL),
