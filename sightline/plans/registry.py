@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sightline.plans import exports, logs, panel, problems
+from sightline.plans import exports, logs, more, panel, problems
 
-_MODULES = [problems, logs, panel, exports]
+_MODULES = [problems, logs, panel, exports, more]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
