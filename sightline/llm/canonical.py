@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -12,9 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.lookalikes import MEMBERS, skeleton, visible
+from sightline.llm.lookalikes import MARKS, MEMBERS, decomposed_skeleton, visible
+from sightline.session import materialize
 
-_TOKEN = re.compile(r"[^\W\d_]+")
+_TOKEN = re.compile(rf"(?:[^\W\d_]{MARKS}*)+")
+_MARK = re.compile(MARKS)
 #: Cost, in nats, of a change of script between neighbouring letters of a token.
 SWITCH = 12.0
 
@@ -29,7 +32,7 @@ def script(ch: str) -> str:
 
 
 def count_bigrams(texts: DataFrame, column: str) -> DataFrame:
-    """(pair, n): neighbouring letters of one script in all tokens of all texts, with ^ and $ at their ends, counted for a model."""
+    """(pair, n): neighbouring letters of one script, accents aside, in all tokens of all texts, with ^ and $ at their ends, counted for a model."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter[str] = Counter()
@@ -37,8 +40,9 @@ def count_bigrams(texts: DataFrame, column: str) -> DataFrame:
             tokens: Counter[str] = Counter()
             for text in batch[column]:
                 if text:
-                    tokens.update(_TOKEN.findall(visible(text)))
+                    tokens.update(_TOKEN.findall(unicodedata.normalize("NFD", visible(text))))
             for token, n in tokens.items():
+                token = _MARK.sub("", token)
                 for a, b in zip("^" + token, token + "$"):
                     if a == "^" or b == "$" or script(a) == script(b):
                         counts[a + b] += n
@@ -72,6 +76,9 @@ class Lattice:
             paths = [(0.0, "")]
             last = ["^"]
             for ch in text:
+                if _MARK.match(ch):
+                    paths = [(c, p + ch) for c, p in paths]
+                    continue
                 options = sorted(MEMBERS.get(ch, ch))
                 paths = [min((c + self._cost(a, b), p + b) for (c, p), a in zip(paths, last)) for b in options]
                 last = options
@@ -82,7 +89,7 @@ class Lattice:
         return found
 
     def form(self, text: str) -> str:
-        return _TOKEN.sub(lambda m: self.token(m[0]), skeleton(text))
+        return unicodedata.normalize("NFC", _TOKEN.sub(lambda m: self.token(m[0]), decomposed_skeleton(text)))
 
 
 #: Letter pairs in a model; more than that can't come from the letters of three scripts and is refused.
@@ -124,8 +131,6 @@ def equal_looking(texts: DataFrame, key: str, column: str) -> tuple[DataFrame, D
     """
     rows = texts.where(F.col(key).isNotNull() & F.col(column).isNotNull()).select(F.col(key).alias("id"), F.col(column).alias("_t"))
     digests = canonicalize(rows, "_t", "_c").select("id", F.sha2("_c", 256).alias("form"), F.sha2("_t", 256).alias("spelling"))
-    from sightline.session import materialize
-
     digests = materialize(digests, "forms")
     several = digests.groupBy("form").agg(F.min("spelling").alias("a"), F.max("spelling").alias("b")).where("a <> b").select("form")
     members = digests.join(several, "form", "left_semi").distinct()

@@ -99,11 +99,11 @@ def exact_passages(index: PositionalIndex, item_texts: DataFrame, passage: int =
 
 
 def proximity_matches(index: PositionalIndex, item_texts: DataFrame, window: int = 24, least: int = 10) -> DataFrame:
-    """(doc_id, item_id, terms_met, doc_pos): documents where `least` different words of an item lie within `window` words.
+    """(doc_id, item_id, terms_met, doc_pos): documents where `least` different words of an item lie close around its rarest word.
 
     Finds passages with words inserted, left out or moved, which exact_passages cuts short. The places proposed are those
-    of the rarest word of each run of `least` item words; around each, distinct item words within the window before and
-    after are counted from the postings. One row a document and item, its best place, the first of equals.
+    of the rarest word of each run of `least` item words; the distinct item words up to window / 2 words before and after
+    are counted from the postings. One row a document and item, its best place, the first of equals.
     """
     item_terms = materialize(terms(item_texts, "item_id", "text", "item_id"), "item-terms")
     wanted = _hint(materialize(item_terms.select("term").distinct(), "wanted"), 40)
@@ -113,10 +113,8 @@ def proximity_matches(index: PositionalIndex, item_texts: DataFrame, window: int
     places = materialize(places, "places").withColumn("cell", F.explode(F.array(*[F.floor(F.col("at") / window) + k for k in (-1, 0, 1)])))
     documents = _hint(materialize(places.select("doc_id").distinct(), "place-documents"), 40)
     lists = relevant.join(documents, "doc_id", "left_semi").withColumn("cell", F.floor(F.col("pos") / window))
-    near = places.join(lists, ["doc_id", "cell"]).where(F.abs(F.col("pos") - F.col("at")) < window)
+    near = places.join(lists, ["doc_id", "cell"]).where(F.abs(F.col("pos") - F.col("at")) <= window // 2)
     met = near.join(_hint(item_terms.select("item_id", "term").distinct(), 48), ["item_id", "term"])
-    # both halves around a place may not count together: the window lies before it or after it
-    side = F.explode(F.when(F.col("pos") == F.col("at"), F.array(F.lit(0), F.lit(1))).when(F.col("pos") > F.col("at"), F.array(F.lit(1))).otherwise(F.array(F.lit(0))))
-    counts = met.select("doc_id", "item_id", "at", "term", side.alias("side")).distinct().groupBy("doc_id", "item_id", "at", "side").agg(F.count("*").alias("n"))
+    counts = met.select("doc_id", "item_id", "at", "term").distinct().groupBy("doc_id", "item_id", "at").agg(F.count("*").alias("n"))
     best = counts.where(F.col("n") >= least).groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("n"), (-F.col("at")).alias("back"))).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.n").alias("terms_met"), (-F.col("b.back")).cast("int").alias("doc_pos"))

@@ -51,10 +51,15 @@ def visible(text: str) -> str:
     return text if text.isascii() else text.translate(_SEEN)
 
 
+def decomposed_skeleton(text: str) -> str:
+    """skeleton() with accents after their letters."""
+    seen = visible(text)
+    return seen if seen.isascii() else unicodedata.normalize("NFD", seen).translate(_FOLD)
+
+
 def skeleton(text: str) -> str:
     """The text with every letter replaced by the Latin letter of its look, accents composed: equal for texts that look the same."""
-    seen = visible(text)
-    return seen if seen.isascii() else unicodedata.normalize("NFC", unicodedata.normalize("NFD", seen).translate(_FOLD))
+    return unicodedata.normalize("NFC", decomposed_skeleton(text))
 
 
 @lru_cache(maxsize=1 << 17)
@@ -69,7 +74,9 @@ def one_script(word: str) -> str:
     return word.lower()
 
 
-_WORD = re.compile(r"[^\W_]+(?:[̀-ͯ]+[^\W_]*)*")
+#: A class of combining accents for patterns.
+MARKS = f"[{chr(0x300)}-{chr(0x36F)}]"
+_WORD = re.compile(rf"[^\W_]+(?:{MARKS}+[^\W_]*)*")
 
 
 def words(text: str) -> list[str]:
