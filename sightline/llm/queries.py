@@ -39,7 +39,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every domain pair of every panel with its counts and association scores."""
-    return _pair_store(spark, sf_dir).scores()
+    return _pair_store(spark, sf_dir).scores().withColumns({c: F.round(c, 9) for c in ("lift", "jaccard")})
 
 
 def _prompt_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +94,18 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p3_found": p3_found, "p7_found": p7_found, "p8_packed": p8_packed, "p8_summary": p8_summary, "p9_found": p9_found, "p9_near": p9_near, "p10_found": p10_found, "p10_forms": p10_forms}
-ORACLES: dict[str, str] = {}
+_HOST = r"nullif(regexp_replace(regexp_replace(regexp_extract(lower(trim(u)), '^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@\\]*@)?(\[[^\]]*\]|[^/?#:\\]+)', 1), '\.$', ''), '^www\.', ''), '')"
+_PAIRS = f"""WITH o AS (SELECT observation_id, arg_max(panel_id, received_at) AS panel_id, arg_max(cited_urls, received_at) AS urls FROM answer_observations WHERE observation_id IS NOT NULL GROUP BY 1), u AS (SELECT observation_id, panel_id, unnest(urls) AS u FROM o WHERE panel_id IS NOT NULL),
+    d AS (SELECT DISTINCT observation_id, panel_id, {_HOST} AS d FROM u WHERE {_HOST} IS NOT NULL), n AS (SELECT panel_id, count(*) n FROM o WHERE panel_id IS NOT NULL GROUP BY 1), m AS (SELECT panel_id, d, count(*) n FROM d GROUP BY 1, 2),
+    p AS (SELECT a.panel_id, a.d AS x, b.d AS y, count(*) c FROM d a JOIN d b ON a.observation_id = b.observation_id AND a.d < b.d GROUP BY 1, 2, 3)
+"""
+ORACLES: dict[str, str] = {
+    "p1_found": _PAIRS + """, e AS (SELECT DISTINCT panel_id, least(left_domain, right_domain) x, greatest(left_domain, right_domain) y, weight FROM source_edges WHERE weight IS NOT NULL AND left_domain <> right_domain AND panel_id IS NOT NULL)
+        SELECT p.panel_id, x AS left_domain, y AS right_domain, 'lift' AS finding FROM p JOIN n USING (panel_id) JOIN m a ON a.panel_id = p.panel_id AND a.d = x JOIN m b ON b.panel_id = p.panel_id AND b.d = y WHERE c >= 5 AND c * n.n >= 3 * a.n * b.n
+        UNION ALL SELECT DISTINCT e.panel_id, e.x, e.y, 'weight' FROM e LEFT JOIN p ON p.panel_id = e.panel_id AND p.x = e.x AND p.y = e.y WHERE weight <> coalesce(c, 0)""",
+    "p1_pairs": _PAIRS + """SELECT p.panel_id AS grp, x AS left_item, y AS right_item, c AS n, a.n AS n_left, b.n AS n_right, n.n AS n_all, round(c * n.n / (a.n * b.n), 9) AS lift, round(c / (a.n + b.n - c), 9) AS jaccard
+        FROM p JOIN n USING (panel_id) JOIN m a ON a.panel_id = p.panel_id AND a.d = x JOIN m b ON b.panel_id = p.panel_id AND b.d = y""",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
