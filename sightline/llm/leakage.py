@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sightline.llm.lookalikes import words
 from sightline.session import materialize, small
@@ -16,17 +15,23 @@ from sightline.session import materialize, small
 PASSAGE = 12
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def word_list(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The words of each text in order, without case and differences that can't be seen; null for null."""
-    for batch in texts:
-        yield batch.map(lambda t: words(t) if isinstance(t, str) else None)
+#: Texts handed back at once by a Python worker, which bounds the word lists it holds.
+_CHUNK = 256
+
+
+def _word_lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(id, w): the words of each text in order, without case and differences that can't be seen; texts that are null are left out."""
+    for batch in batches:
+        for start in range(0, len(batch), _CHUNK):
+            part = batch.iloc[start : start + _CHUNK]
+            yield pd.DataFrame({"id": part["id"], "w": [words(t) for t in part["t"]]})
 
 
 def terms(texts: DataFrame, key: str, text: str, id_name: str) -> DataFrame:
-    """(id_name, pos, term) of every word, the term as a 64-bit hash."""
-    listed = texts.select(F.col(key).alias(id_name), word_list(F.col(text)).alias("w"))
-    return listed.select(id_name, F.posexplode("w").alias("pos", "w")).select(id_name, "pos", F.xxhash64("w").alias("term"))
+    """(id_name, pos, term) of every word, the term as a 64-bit hash. Rows with a null key or text have none."""
+    plain = texts.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
+    listed = plain.mapInPandas(_word_lists, "id BIGINT, w ARRAY<STRING>")
+    return listed.select(F.col("id").alias(id_name), F.posexplode("w").alias("pos", "w")).select(id_name, "pos", F.xxhash64("w").alias("term"))
 
 
 class PositionalIndex:
