@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from sightline.llm.lookalikes import MARKS, MEMBERS, decomposed_skeleton, visible
 from sightline.session import materialize
 
-_TOKEN = re.compile(rf"(?:[^\W\d_]{MARKS}*)+")
+_TOKEN = re.compile(rf"[^\W\d_]+(?:{MARKS}+[^\W\d_]*)*")
 _MARK = re.compile(MARKS)
 #: Cost, in nats, of a change of script between neighbouring letters of a token.
 SWITCH = 12.0
@@ -89,7 +89,11 @@ class Lattice:
         return found
 
     def form(self, text: str) -> str:
-        return unicodedata.normalize("NFC", _TOKEN.sub(lambda m: self.token(m[0]), decomposed_skeleton(text)))
+        plain = decomposed_skeleton(text)
+        # most tokens are spelled as their skeleton; only a text with another token is rewritten
+        if any(self.token(t) != t for t in set(_TOKEN.findall(plain))):
+            plain = _TOKEN.sub(lambda m: self.token(m[0]), plain)
+        return plain if plain.isascii() else unicodedata.normalize("NFC", plain)
 
 
 #: Letter pairs in a model; more than that can't come from the letters of three scripts and is refused.
