@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.operators.tables import with_totals
 from sightline.session import delete_path, materialize, work_path
 
 
@@ -87,9 +88,9 @@ def _pagerank_joins(edges: DataFrame, group: list[str], left: str, right: str, w
     spark = edges.sparkSession
     both = edges.select(*group, F.col(left).alias("src"), F.col(right).alias("dst"), F.col(weight).cast("double").alias("w")).where("w > 0 AND src <> dst")
     both = both.unionByName(both.select(*group, F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
-    out = both.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy(*group, "src"))).drop("w")
+    out = with_totals(both, [*group, "src"], _t=F.sum("w")).withColumn("share", F.col("w") / F.col("_t")).drop("w", "_t")
     out = materialize(out, "rank-edges")
-    nodes = materialize(out.groupBy(*group, F.col("src").alias("item")).agg(F.lit(0).alias("_")).withColumn("n", F.count("*").over(Window.partitionBy(*group))).drop("_"), "rank-nodes")
+    nodes = materialize(with_totals(out.select(*group, F.col("src").alias("item")).distinct(), group, n=F.count("*")), "rank-nodes")
     ranks, path = nodes.withColumn("r", 1.0 / F.col("n")), None
     for step in range(1, iterations + 1):
         inflow = out.join(ranks.select(*group, F.col("item").alias("src"), "r"), [*group, "src"]).groupBy(*group, F.col("dst").alias("item")).agg(F.sum(F.col("r") * F.col("share")).alias("i"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions import stats
+from sightline.operators.tables import with_totals
 
 
 def citations(observations: DataFrame, domain: Column) -> DataFrame:
@@ -39,8 +40,8 @@ def concentration(rows: DataFrame, group: list[str], item: str, unit: str) -> Da
 def leave_one_out_range(rows: DataFrame, group: list[str], item: str, unit: str) -> DataFrame:
     """Per group: least and greatest Herfindahl index when any one unit is left out, by updating sums instead of recounting."""
     cells = rows.groupBy(*group, unit, item).agg(F.count("*").alias("x"))
-    g, gi, gu = Window.partitionBy(*group), Window.partitionBy(*group, item), Window.partitionBy(*group, unit)
-    marked = cells.withColumn("n", F.sum("x").over(gi)).withColumn("total", F.sum("x").over(g)).withColumn("own", F.sum("x").over(gu))
+    by_item = with_totals(cells, [*group, item], n=F.sum("x"))
+    marked = with_totals(with_totals(by_item, [*group, unit], own=F.sum("x")), group, total=F.sum("x"))
     squares = marked.groupBy(*group, unit).agg(F.sum(F.col("x") * F.col("x") - 2 * F.col("n") * F.col("x")).alias("delta"), F.max("total").alias("total"), F.max("own").alias("own"))
     totals = rows.groupBy(*group, item).agg(F.count("*").alias("n")).groupBy(*group).agg(F.sum(F.col("n") * F.col("n")).alias("squares")).withColumnsRenamed({c: f"_{c}" for c in group})
     joined = squares.join(totals, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group])
@@ -51,7 +52,7 @@ def leave_one_out_range(rows: DataFrame, group: list[str], item: str, unit: str)
 def shares(rows: DataFrame, group: list[str], item: str) -> DataFrame:
     """(group, item, n, share): the share of each item in its group's events."""
     counts = rows.groupBy(*group, item).agg(F.count("*").alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*group)))
+    return with_totals(counts, group, _t=F.sum("n")).withColumn("share", F.col("n") / F.col("_t")).drop("_t")
 
 
 def _entropy_part(p: Column, m: Column) -> Column:
@@ -66,10 +67,10 @@ def pair_divergence(share_rows: DataFrame, within: list[str], side: str, item: s
     """
     a = share_rows.select(*within, F.col(side).alias("side_a"), F.col(item), F.col("share").alias("p"))
     b = share_rows.select(*within, F.col(side).alias("side_b"), F.col(item), F.col("share").alias("q"))
-    sizes = share_rows.groupBy(*within, side).agg(F.count("*").alias("k"))
-    sa, sb = sizes.select(*within, F.col(side).alias("side_a"), F.col("k").alias("ka")), sizes.select(*within, F.col(side).alias("side_b"), F.col("k").alias("kb"))
-    pairs = sa.join(sb, within) if within else sa.crossJoin(sb)
-    pairs = pairs.where("side_a < side_b")
+    # the sides of a context are few, and each pair of them is a row of the result
+    sides = share_rows.groupBy(*within, side).agg(F.count("*").alias("k")).groupBy(*within).agg(F.array_sort(F.collect_list(F.struct(F.col(side).alias("s"), "k"))).alias("_s"))
+    first = sides.select(*within, "_s", F.posexplode("_s").alias("_i", "x"))
+    pairs = first.select(*within, F.col("x.s").alias("side_a"), F.col("x.k").alias("ka"), F.explode(F.slice("_s", F.col("_i") + 2, F.size("_s"))).alias("y")).select(*within, "side_a", "ka", F.col("y.s").alias("side_b"), F.col("y.k").alias("kb"))
     m = (F.col("p") + F.col("q")) / 2
     common = a.join(b, [*within, item]).where("side_a < side_b").groupBy(*within, "side_a", "side_b").agg(
         F.count("*").alias("shared"), F.sum("p").alias("pa"), F.sum("q").alias("qb"), F.sum((_entropy_part(F.col("p"), m) + _entropy_part(F.col("q"), m)) / 2).alias("part")
@@ -128,22 +129,24 @@ def paired_reach(observations: DataFrame, rows: DataFrame, period: str, before:
 
 
 def holm_adjust(df: DataFrame, p: str, tie: str, family: list[str] | None = None, buckets: int = 64) -> DataFrame:
-    """Adds `holm_p`: Holm's step-down adjustment of `p` within each family, ties ordered by `tie`.
+    """Adds `holm_p`: Holm's step-down adjustment of `p` within each family, ties ordered by `tie`; rows with a null p are left out.
 
     Ranks are counted in ranges of p: each row's rank is its rank in its range plus the rows of lower ranges, and the running
     maximum is carried over ranges the same way, so a family is not sorted by one task.
     """
     family = family or []
-    rows = df.withColumn("_range", F.least(F.floor(F.col(p) * buckets), F.lit(buckets - 1)))
+    # a p of 1 is 1 after adjustment and counts only in the size of its family
+    sized = with_totals(df, family, _m=F.count("*"))
+    open_rows = sized.where(F.col(p) < 1).withColumn("_range", F.least(F.floor(F.col(p) * buckets), F.lit(buckets - 1)))
     inner = Window.partitionBy(*family, "_range").orderBy(p, tie)
-    sizes = rows.groupBy(*family, "_range").agg(F.count("*").alias("_n"))
     order = Window.partitionBy(*family).orderBy("_range")
-    starts = sizes.withColumn("_before", F.sum("_n").over(order) - F.col("_n")).withColumn("_m", F.sum("_n").over(Window.partitionBy(*family))).drop("_n")
-    ranked = rows.join(F.broadcast(starts), [*family, "_range"]).withColumn("_step", F.least(F.lit(1.0), F.col(p) * (F.col("_m") - (F.col("_before") + F.row_number().over(inner)) + 1)))
+    starts = open_rows.groupBy(*family, "_range").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(order) - F.col("_n")).drop("_n")
+    ranked = open_rows.join(starts, [*family, "_range"]).withColumn("_step", F.least(F.lit(1.0), F.col(p) * (F.col("_m") - (F.col("_before") + F.row_number().over(inner)) + 1)))
     tops = ranked.groupBy(*family, "_range").agg(F.max("_step").alias("_top"))
     carried = tops.withColumn("_carry", F.coalesce(F.max("_top").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).drop("_top")
-    out = ranked.withColumn("_run", F.max("_step").over(inner.rowsBetween(Window.unboundedPreceding, 0))).join(F.broadcast(carried), [*family, "_range"])
-    return out.withColumn("holm_p", F.greatest("_run", "_carry")).drop("_range", "_before", "_m", "_step", "_run", "_carry")
+    out = ranked.withColumn("_run", F.max("_step").over(inner.rowsBetween(Window.unboundedPreceding, 0))).join(carried, [*family, "_range"])
+    adjusted = out.withColumn("holm_p", F.greatest("_run", "_carry")).select(*df.columns, "holm_p")
+    return adjusted.unionByName(sized.where(F.col(p) >= 1).withColumn("holm_p", F.lit(1.0)).select(*df.columns, "holm_p"))
 
 
 def first_owned(rows: DataFrame, owned: Column, group: list[str]) -> DataFrame:

@@ -53,9 +53,11 @@ def daily_activity(rows: DataFrame) -> DataFrame:
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], cap: int) -> DataFrame:
     """The first `cap` rows of each group, with its number of rows and whether some were cut."""
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    total = F.count("*").over(Window.partitionBy(*group))
-    return df.withColumn("rank", rank).withColumn("group_rows", total).where(F.col("rank") <= cap).withColumn("truncated", F.col("group_rows") > cap)
+    # the filter stands directly on the rank, so that each partition keeps only its first rows before the shuffle
+    first = df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= cap)
+    sizes = df.groupBy(*group).agg(F.count("*").alias("group_rows")).withColumnsRenamed({g: f"_{g}" for g in group})
+    joined = first.join(sizes, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group]).drop(*[f"_{g}" for g in group])
+    return joined.withColumn("truncated", F.col("group_rows") > cap)
 
 
 def path_counts(rows: DataFrame) -> DataFrame:

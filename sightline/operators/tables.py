@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,14 @@ def full_outer(left: DataFrame, right: DataFrame, keys: list[str], suffixes: tup
     return out.withColumn("presence", side).drop("_in_a", "_in_b", *[f"_{k}" for k in keys])
 
 
+def with_totals(df: DataFrame, group: list[str], **totals: Column) -> DataFrame:
+    """Adds group totals by an aggregation and a null-safe join, so that no group is gathered in one task as by a window."""
+    if not group:
+        return df.join(F.broadcast(df.agg(*[c.alias(n) for n, c in totals.items()])))
+    sums = df.groupBy(*group).agg(*[c.alias(n) for n, c in totals.items()]).withColumnsRenamed({g: f"_t_{g}" for g in group})
+    return df.join(sums, [F.col(g).eqNullSafe(F.col(f"_t_{g}")) for g in group]).drop(*[f"_t_{g}" for g in group])
+
+
 def compare_metric(baseline: DataFrame, current: DataFrame, keys: list[str], metric: str) -> DataFrame:
     """Sums of a metric in two periods by key: a key of one period only is current-only or baseline-only, never zero; sums without any value are null."""
     b, c = (d.groupBy(*keys).agg(F.sum(metric).alias("v")) for d in (baseline, current))
@@ -76,11 +84,10 @@ def ends(rows: DataFrame, group: list[str], order: str, metric: str) -> DataFram
 
 def downsample(rows: DataFrame, group: list[str], order: str, metric: str, buckets: int) -> DataFrame:
     """At most two rows a bucket of a series: its least and its greatest value, first of equals; buckets are equal spans of `order`."""
-    span = Window.partitionBy(*group)
     x = F.col(order).cast("double")
-    lo, hi = F.min(x).over(span), F.max(x).over(span)
-    bucket = F.least(F.floor((x - lo) / F.nullif(hi - lo, F.lit(0.0)) * buckets), F.lit(buckets - 1))
-    b = rows.where(F.col(order).isNotNull() & F.col(metric).isNotNull()).withColumn("bucket", F.coalesce(bucket, F.lit(0)))
+    known = with_totals(rows.where(F.col(order).isNotNull() & F.col(metric).isNotNull()), group, _lo=F.min(x), _hi=F.max(x))
+    bucket = F.least(F.floor((x - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * buckets), F.lit(buckets - 1))
+    b = known.withColumn("bucket", F.coalesce(bucket, F.lit(0)))
     points = b.groupBy(*group, "bucket").agg(F.min(F.struct(metric, order)).alias("low"), F.max(F.struct(F.col(metric), (-F.col(order).cast("double")).alias("o"), F.col(order).alias("at"))).alias("high"))
     rows_out = points.select(*group, "bucket", F.explode(F.array_distinct(F.array(F.struct(F.col(f"low.{order}").alias(order), F.col(f"low.{metric}").alias(metric)), F.struct(F.col("high.at").alias(order), F.col(f"high.{metric}").alias(metric))))).alias("p"))
     return rows_out.select(*group, "bucket", f"p.{order}", f"p.{metric}")
