@@ -156,3 +156,14 @@ ORACLES = {
         OR (o[1] = 203 AND o[2] = 0 AND o[3] = 113 AND o[4] < 16) THEN 'in-range' ELSE 'outside' END AS state, count(*) requests FROM n GROUP BY 1""",
     "p_request_classes": _CTE + f"SELECT sc AS status_class, {_BAND_NAME.format(_BAND)} AS latency_band, {_MEDIA} AS media_type, contains(path, '?') AS has_query, count(*) requests FROM q GROUP BY 1, 2, 3, 4".replace("CASE CASE", "CASE (CASE").replace("END WHEN 0 THEN", "END) WHEN 0 THEN"),
 }
+#: The two policies spelled out: whether each blocks a path.
+_REPLAY = _CTE + """, a AS (SELECT DISTINCT token, path FROM q WHERE token IS NOT NULL AND path IS NOT NULL), x AS (SELECT token, path,
+    CASE WHEN contains(lower(token), 'quorvexbot') THEN path LIKE '/help%' ELSE path LIKE '/shop%' AND path <> '/shop/' END AS before,
+    CASE WHEN contains(lower(token), 'quorvexbot') OR contains(lower(token), 'halmirafetch') THEN path NOT LIKE '/guides%' AND path <> '/robots.txt' ELSE path LIKE '/shop/%page=%' OR path LIKE '/blog%' END AS after,
+    CASE WHEN contains(lower(token), 'quorvexbot') THEN CASE WHEN path LIKE '/help%' THEN '/help' END WHEN path = '/shop/' THEN '/shop/$' WHEN path LIKE '/shop%' THEN '/shop' END AS before_rule,
+    CASE WHEN path = '/robots.txt' THEN NULL WHEN contains(lower(token), 'quorvexbot') OR contains(lower(token), 'halmirafetch') THEN CASE WHEN path LIKE '/guides%' THEN '/guides' ELSE '/' END WHEN path LIKE '/shop/%page=%' THEN '/shop/*page=' WHEN path LIKE '/blog%' THEN '/blog' END AS after_rule FROM a)
+"""
+ORACLES |= {
+    "j11_robots_replay": _REPLAY + "SELECT 'before' AS policy, token, count(*) paths, count(*) FILTER (before) blocked FROM x GROUP BY 2 UNION ALL SELECT 'after', token, count(*), count(*) FILTER (after) FROM x GROUP BY 2",
+    "j12_robots_changes": _REPLAY + "SELECT token, CASE WHEN after AND NOT before THEN 'newly-blocked' WHEN before AND NOT after THEN 'newly-allowed' WHEN before_rule IS DISTINCT FROM after_rule THEN 'rule-change' ELSE 'unchanged' END AS change, count(*) paths FROM x GROUP BY 1, 2",
+}

@@ -9,7 +9,7 @@ from sightline.functions import stats
 from sightline.functions.normalize import host, owned
 from sightline.operators import graph, panel, resampling, tables, textsim
 from sightline.operators.ordered import last_before
-from sightline.plans.exports import _similar
+from sightline.plans.exports import _TFIDF, _similar
 from sightline.plans.panel import _CTE, OWNED, _citations, _observations, _rounded
 from sightline.session import load, materialize
 from sightline.sources import files
@@ -144,4 +144,10 @@ ORACLES = {
     "s5_sitemap_entries": "SELECT source, page_url AS loc, strftime(published_at, '%Y-%m-%d') AS lastmod FROM documents WHERE page_url IS NOT NULL AND source IS NOT NULL AND published_at IS NOT NULL",
     "s_stream_days": "SELECT strftime(received_at, '%Y-%m-%d') AS day, CASE WHEN status BETWEEN 200 AND 299 THEN '2xx' WHEN status BETWEEN 300 AND 399 THEN '3xx' WHEN status BETWEEN 400 AND 499 THEN '4xx' WHEN status BETWEEN 500 AND 599 THEN '5xx' ELSE 'other' END AS status_class, count(*) requests FROM crawler_requests WHERE received_at IS NOT NULL GROUP BY 1, 2",
     "s_sessions": "WITH g AS (SELECT site_host, received_at, CASE WHEN received_at >= lag(received_at) OVER w + INTERVAL 30 MINUTE OR lag(received_at) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM crawler_requests WHERE site_host IS NOT NULL AND received_at IS NOT NULL WINDOW w AS (PARTITION BY site_host ORDER BY received_at)), s AS (SELECT site_host, sum(new) OVER (PARTITION BY site_host ORDER BY received_at ROWS UNBOUNDED PRECEDING) k FROM g), n AS (SELECT site_host, k, count(*) n FROM s GROUP BY 1, 2) SELECT site_host, count(*) sessions, max(n) longest FROM n GROUP BY 1",
+    "x5_threshold_sweep": _TFIDF.replace("WITH p AS", "WITH RECURSIVE p AS", 1) + """, h AS (SELECT CAST(unnest([0.7, 0.8, 0.9]) AS DOUBLE) AS t), z AS (SELECT t, a, b FROM s, h WHERE cosine >= t UNION ALL SELECT t, b, a FROM s, h WHERE cosine >= t),
+        q AS (SELECT t, a, a AS b FROM z UNION SELECT q.t, q.a, z.b FROM q JOIN z ON z.t = q.t AND z.a = q.b), m AS (SELECT t, a, min(b) c FROM q GROUP BY 1, 2), g AS (SELECT t, c, count(*) n FROM m GROUP BY 1, 2)
+        SELECT t AS threshold, CAST(sum(n) AS BIGINT) members, count(*) families, max(n) largest FROM g GROUP BY 1""",
+    "w7_downsampled_series": _CTE + """, d AS (SELECT provider, date_diff('day', DATE '2026-01-01', received_at::DATE) AS day, count(*) captures FROM o WHERE provider IS NOT NULL GROUP BY 1, 2), e AS (SELECT provider, min(day) lo, max(day) hi FROM d GROUP BY 1),
+        b AS (SELECT d.*, coalesce(CAST(least(floor((day - lo) / nullif(hi - lo, 0) * 20), 19) AS BIGINT), 0) AS bucket FROM d JOIN e USING (provider)), r AS (SELECT *, row_number() OVER (PARTITION BY provider, bucket ORDER BY captures, day) lo_k, row_number() OVER (PARTITION BY provider, bucket ORDER BY captures DESC, day) hi_k FROM b)
+        SELECT provider, bucket, CAST(day AS INTEGER) AS day, captures FROM r WHERE lo_k = 1 OR hi_k = 1""",
 }
