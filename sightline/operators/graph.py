@@ -194,6 +194,63 @@ def communities(edges: DataFrame, group: list[str], left: str, right: str, weigh
     return plain.groupBy(*group).applyInPandas(run, schema)
 
 
+def _cut_nodes(pairs: list[tuple[str, str]]) -> set[str]:
+    """Nodes whose removal splits their component, by depth-first low points without recursion."""
+    near: dict[str, set[str]] = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    seen: dict[str, int] = {}
+    low: dict[str, int] = {}
+    cuts: set[str] = set()
+    for root in sorted(near):
+        if root in seen:
+            continue
+        seen[root] = low[root] = len(seen)
+        stack, branches = [(root, "", iter(sorted(near[root])))], 0
+        while stack:
+            node, parent, rest = stack[-1]
+            step = next(rest, None)
+            if step is None:
+                stack.pop()
+                if stack:
+                    above = stack[-1][0]
+                    low[above] = min(low[above], low[node])
+                    if above != root and low[node] >= seen[above]:
+                        cuts.add(above)
+            elif step not in seen:
+                branches += node == root
+                seen[step] = low[step] = len(seen)
+                stack.append((step, node, iter(sorted(near[step]))))
+            elif step != parent:
+                low[node] = min(low[node], seen[step])
+        if branches > 1:
+            cuts.add(root)
+    return cuts
+
+
+def bridging_nodes(edges: DataFrame, left: str, right: str, most_edges: int = 1_000_000) -> DataFrame:
+    """(component, node): articulation points, the nodes whose removal splits their component.
+
+    Components are found over the cluster, each is searched by one task; one of more than `most_edges` edges is refused.
+    Null ends are left out, repeated edges count once.
+    """
+    clean = edges.where(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(left) != F.col(right))).select(F.least(left, right).cast("string").alias("a"), F.greatest(left, right).cast("string").alias("b")).distinct()
+    clean = materialize(clean, "bridge-edges")
+    member = components(clean, "a", "b").select(F.col("node").alias("a"), "component")
+    placed = materialize(clean.join(member, "a"), "placed-edges")
+    largest = placed.groupBy("component").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > most_edges:
+        raise ValueError(f"a component has {largest} edges; the search takes up to {most_edges}")
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        cuts = sorted(_cut_nodes(list(zip(rows["a"], rows["b"]))))
+        return pd.DataFrame({"component": [key[0]] * len(cuts), "node": cuts}, dtype=object)
+
+    return placed.groupBy("component").applyInPandas(run, "component STRING, node STRING")
+
+
 def adjusted_rand_index(items: DataFrame, first: str, second: str) -> DataFrame:
     """(items, adjusted_rand_index) of two partitions of the same items; null where chance alone would agree fully."""
     cells = items.groupBy(first, second).agg(F.count("*").alias("n"))

@@ -52,6 +52,11 @@ def x5_threshold_sweep(spark, sf_dir):
     return out
 
 
+def g10_bridging_prompts(spark, sf_dir):
+    """Prompts that alone hold a family of similar prompts together."""
+    return graph.bridging_nodes(_similar(spark, sf_dir).where("cosine >= 0.7"), "a", "b")
+
+
 def p17_entity_mentions(spark, sf_dir):
     obs = _observations(spark, sf_dir)
     counts = F.explode(F.array(*[F.struct(F.lit(n).alias("entity"), textsim.mentions(F.col("answer_text"), a).alias("n")) for n, a in ENTITIES.items()]))
@@ -130,7 +135,7 @@ def s_sessions(spark, sf_dir):
     return activity.sessions(rows, "site_host").groupBy("site_host").agg(F.count("*").alias("sessions"), F.max("requests").alias("longest"))
 
 
-QUERIES = {f.__name__: f for f in (g7_rank_weighted_edges, g9_edge_comparison, x5_threshold_sweep, p17_entity_mentions, a38_entity_comentions, p18_answer_lengths, a40_sampling_quotas, w9_capture_gaps, w7_downsampled_series, a30_owned_gap_pairs, k8_bootstrap_intervals, s5_sitemap_entries, s_stream_days, s_sessions)}
+QUERIES = {f.__name__: f for f in (g7_rank_weighted_edges, g9_edge_comparison, x5_threshold_sweep, g10_bridging_prompts, p17_entity_mentions, a38_entity_comentions, p18_answer_lengths, a40_sampling_quotas, w9_capture_gaps, w7_downsampled_series, a30_owned_gap_pairs, k8_bootstrap_intervals, s5_sitemap_entries, s_stream_days, s_sessions)}
 _ENTITY = ", ".join(f"{{'entity': '{n}', 'n': len(regexp_extract_all(' ' || lower(answer_text) || ' ', '[^\\p{{L}}\\p{{N}}_](?:{'|'.join(x.replace(' ', '\\s+') for x in sorted(a, key=lambda x: (-len(x), x)))})(?:$|[^\\p{{L}}\\p{{N}}_])'))}}" for n, a in ENTITIES.items())
 _KEYS = "panel_id, provider, prompt_id"
 ORACLES = {

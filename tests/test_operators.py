@@ -126,6 +126,37 @@ def test_communities_and_agreement(spark):
     assert graph.adjusted_rand_index(same, "p", "q").first().adjusted_rand_index == pytest.approx(1.0)
 
 
+def test_bridging_nodes(spark):
+    import random
+
+    rng = random.Random(4)
+    edges = {(f"n{rng.randrange(30):02}", f"n{rng.randrange(30):02}") for _ in range(38)} | {("x", "y"), ("y", "z")}
+
+    def parts(pairs, gone=None):
+        near, seen, count = {}, set(), 0
+        for a, b in pairs:
+            if a != b and gone not in (a, b):
+                near.setdefault(a, set()).add(b)
+                near.setdefault(b, set()).add(a)
+        nodes = {n for e in pairs for n in e if n != gone and any(n in f and f[0] != f[1] for f in pairs)}
+        for n in nodes:
+            if n not in seen:
+                count += 1
+                todo = [n]
+                while todo:
+                    m = todo.pop()
+                    if m not in seen:
+                        seen.add(m)
+                        todo += near.get(m, ())
+        return count
+
+    proper = [e for e in edges if e[0] != e[1]]
+    want = {n for n in {n for e in proper for n in e} if parts(proper, n) > parts(proper)}
+    got = graph.bridging_nodes(spark.createDataFrame([*edges, *edges, ("x", None)], "a STRING, b STRING"), "a", "b")
+    assert {r.node for r in got.collect()} == want and "y" in want
+    assert graph.bridging_nodes(spark.createDataFrame([], "a STRING, b STRING"), "a", "b").count() == 0
+
+
 def test_canonical_chains(spark):
     pages_ = [("a", "b"), ("b", "c"), ("c", "c"), ("d", None), ("e", "f"), ("f", "e"), ("g", "e"), ("h", "outside"), (None, "a")]
     got = {r.page: (r.final, r.hops, r.state) for r in graph.canonical_targets(spark.createDataFrame(pages_, "p STRING, t STRING"), "p", "t").collect()}
