@@ -70,6 +70,18 @@ def anchors(items: DataFrame, frequency: DataFrame, passage: int = PASSAGE) -> D
     return rare.select("item_id", F.col("r")[0]["pos"].alias("pos"), F.col("r")[0]["term"].alias("term"), second["pos"].alias("pos2"), second["term"].alias("term2")).distinct()
 
 
+def run_anchors(items: DataFrame, frequency: DataFrame, run: int) -> DataFrame:
+    """(item_id, term): of each run of `run` words of each item the rarest word that a document has.
+
+    `items` has item_id, pos, term; `frequency` term, df. Words that no document has are passed over; only runs of nothing else have none.
+    """
+    known = items.join(frequency, "term", "left")
+    ahead = Window.partitionBy("item_id").orderBy("pos").rowsBetween(0, run - 1)
+    rarest = F.min(F.when(F.col("df").isNotNull(), F.struct("df", "pos", "term"))).over(ahead)
+    runs = known.withColumn("words", F.count("*").over(ahead)).withColumn("r", rarest)
+    return runs.where((F.col("words") == run) & F.col("r").isNotNull()).select("item_id", F.col("r")["term"].alias("term")).distinct()
+
+
 def exact_passages(index: PositionalIndex, item_texts: DataFrame, passage: int = PASSAGE) -> DataFrame:
     """(doc_id, item_id, longest, doc_pos, item_pos): documents that hold `passage` or more consecutive words of an item.
 
@@ -106,15 +118,16 @@ def exact_passages(index: PositionalIndex, item_texts: DataFrame, passage: int =
 def proximity_matches(index: PositionalIndex, item_texts: DataFrame, window: int = 24, least: int = 10) -> DataFrame:
     """(doc_id, item_id, terms_met, doc_pos): documents where `least` different words of an item lie close around its rarest word.
 
-    Finds passages with words inserted, left out or moved, which exact_passages cuts short. The places proposed are those
-    of the rarest word of each run of `least` item words; the distinct item words up to window / 2 words before and after
-    are counted from the postings. One row a document and item, its best place, the first of equals.
+    Finds passages with words inserted, left out, replaced or moved, which exact_passages cuts short. The places proposed are
+    those of the rarest word that the index holds of each run of `least` item words, whether or not the run's other words
+    occur anywhere; the distinct item words up to window / 2 words before and after are counted from the postings. A
+    passage is not proposed where it has none of these words. One row a document and item, its best place, the first of equals.
     """
     item_terms = materialize(terms(item_texts, "item_id", "text", "item_id"), "item-terms")
     wanted = _hint(materialize(item_terms.select("term").distinct(), "wanted"), 40)
     relevant = index.postings().join(wanted, "term", "left_semi")
-    rare = materialize(anchors(item_terms, relevant.groupBy("term").agg(F.count("*").alias("df")), least), "anchors")
-    places = index.postings().join(_hint(rare.select("item_id", "term").distinct(), 64), "term").select("doc_id", "item_id", F.col("pos").alias("at")).distinct()
+    rare = materialize(run_anchors(item_terms, relevant.groupBy("term").agg(F.count("*").alias("df")), least), "anchors")
+    places = index.postings().join(_hint(rare, 64), "term").select("doc_id", "item_id", F.col("pos").alias("at")).distinct()
     places = materialize(places, "places").withColumn("cell", F.explode(F.array(*[F.floor(F.col("at") / window) + k for k in (-1, 0, 1)])))
     documents = _hint(materialize(places.select("doc_id").distinct(), "place-documents"), 40)
     lists = relevant.join(documents, "doc_id", "left_semi").withColumn("cell", F.floor(F.col("pos") / window))

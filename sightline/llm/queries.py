@@ -76,7 +76,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents where ten different words of an evaluation item lie within twelve words of its rarest word, in any order."""
+    """Documents where ten different words of an evaluation item lie within twelve words of the rarest word that any document has of a run of ten item words, in any order."""
     index = leakage.PositionalIndex(spark, work_path(spark, "postings"))
     index.add(load(spark, sf_dir, "documents"))
     return leakage.proximity_matches(index, load(spark, sf_dir, "eval_items"))

@@ -218,6 +218,15 @@ def test_proximity(spark):
     assert [(r.doc_id, r.item_id, r.terms_met) for r in got] == [(1, 7, 10)]
 
 
+def test_proximity_passes_over_unseen_words(spark):
+    known = "one two three four five six seven eight nine ten"
+    items = {7: "one two three four five unseen six seven eight nine ten", 8: "absent nowhere missing lacking gone none nil void blank bare", 9: "one two three"}
+    index = leakage.PositionalIndex(spark, work_path(spark, "test-index"))
+    index.add(spark.createDataFrame([(1, f"x y {known} end"), (2, "one two three other")], "doc_id BIGINT, text STRING"))
+    got = leakage.proximity_matches(index, spark.createDataFrame(list(items.items()), "item_id BIGINT, text STRING"), 24, 10).collect()
+    assert [(r.doc_id, r.item_id, r.terms_met) for r in got] == [(1, 7, 10)]
+
+
 # look-alikes
 
 
