@@ -16,6 +16,9 @@ from sightline.session import materialize, small
 
 #: Symbols of a collapsed line that decide its layout; the rest of the shape is left to the extraction pattern.
 _HEAD = 40
+#: Layouts whose fields before the deciding symbols have no largest length.
+_GLOG_SHAPE = r"^a9 9:9:9\.9 9 \S*[a9]:9\]"
+_COMBINED_SHAPE = r"^\S+ \S+ \S+ \[9/a/9:9:9:9"
 #: Lines of one window block of a file.
 _BLOCK = 16_384
 
@@ -25,12 +28,12 @@ LAYOUTS = [
     ("object_start", r"^\{ ?~"),
     ("object", r'^\{ ?"'),
     ("syslog", r"^<9>a 9 9:9:9 "),
-    ("glog", r"^a9 9:9:9\.9 9 \S*[a9]:9\]"),
+    ("glog", _GLOG_SHAPE),
     ("bracket", r"^\[9-9-9[a ]9:9:9"),
     ("dashed", r"^9-9-9[a ]9:9:9(?:[.,]9)?(?:a|[+-]9:?9?)? - "),
     ("columns", r"^9-9-9[a ]9:9:9(?:[.,]9)?(?:a|[+-]9:?9?)? a"),
     ("pairs", r'^a=(?:"|\S)'),
-    ("combined", r"^\S+ \S+ \S+ \[9/a/9:9:9:9"),
+    ("combined", _COMBINED_SHAPE),
     ("tabbed", r"~[1-9]\d*~"),
 ]
 #: Layouts whose entries own the lines that follow them.
@@ -80,9 +83,14 @@ def level_name(word: Column) -> Column:
 
 
 def signature(line: Column) -> Column:
-    """The shape of a line: runs of letters as a, of digits as 9, of blanks as one, with its number of tabs and its ending."""
+    """The shape of a line: runs of letters as a, of digits as 9, of blanks as one, with its number of tabs and its ending.
+
+    It is cut after 40 symbols, or after the symbols that show a layout with unbounded fields if these end later.
+    """
     flat = F.regexp_replace(F.regexp_replace(F.regexp_replace(line, r"[\p{L}_]+", "a"), r"\d+", "9"), r" {2,}", " ")
-    return F.concat_ws("~", F.substring(flat, 1, _HEAD), F.length(line) - F.length(F.replace(line, F.lit("\t"), F.lit(""))), F.right(F.rtrim(line), F.lit(1)))
+    shown = F.regexp_extract(flat, f"{_GLOG_SHAPE}|{_COMBINED_SHAPE}", 0)
+    head = F.when(F.length(shown) > _HEAD, shown).otherwise(F.substring(flat, 1, _HEAD))
+    return F.concat_ws("~", head, F.length(line) - F.length(F.replace(line, F.lit("\t"), F.lit(""))), F.right(F.rtrim(line), F.lit(1)))
 
 
 def resolve(signatures: DataFrame) -> DataFrame:

@@ -58,6 +58,16 @@ def test_empty_and_long(spark):
     assert len(parse_entries(long, files).first().message) == 200_000
 
 
+def test_long_fields_before_the_deciding_symbols(spark):
+    addresses = ["2001:0db8:85a3:08d3:1319:8a2e:0370:7344", "2a02:26f7:c9c4:6a3e:0:f1a2:b3c4:d5e6"]
+    raw = [f'{a} - svc [13/Jan/2026:10:00:00 +0000] "GET /x HTTP/1.1" 200 5 "-" "U"' for a in addresses]
+    raw += ['192.0.2.1 - a.b-c.d-e.f-g.h-i.j-k.l-m.n-o.p [13/Jan/2026:10:00:00 +0000] "GET / HTTP/1.1" 200 5', "W0113 10:00:00.000001   458 a/b-c/d.e/f-g/h.i/j-k/l.m/n-o/p.q/r.cc:596] over", "more"]
+    lines = spark.createDataFrame([("f", n, t, AT) for n, t in enumerate(raw, 1)], "log_file STRING, line_no BIGINT, raw_line STRING, received_at TIMESTAMP")
+    files = spark.createDataFrame([("f", None, date(2026, 1, 1))], "log_file STRING, zone_name STRING, opened_on DATE")
+    got = sorted((r.first_line_no, r.last_line_no, r.client_ip, r.component) for r in parse_entries(lines, files).collect())
+    assert got == [(1, 1, addresses[0], ""), (2, 2, addresses[1], ""), (3, 3, "192.0.2.1", ""), (4, 5, "", "a/b-c/d.e/f-g/h.i/j-k/l.m/n-o/p.q/r.cc")]
+
+
 def test_addresses_and_levels(spark):
     import ipaddress
 
