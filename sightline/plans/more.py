@@ -18,8 +18,18 @@ from sightline.streaming import activity
 ENTITIES = {"sitemap": ["sitemap", "site map"], "answer block": ["answer block", "answer blocks"], "robots rule": ["robots rule", "robots rules"], "canonical link": ["canonical link", "canonical links"]}
 
 
+def _rank_edges(spark, sf_dir):
+    return graph.rank_weighted_edges(_citations(spark, sf_dir).where("provider IS NOT NULL"), ["provider"], "prompt_id", "domain", "rank")
+
+
+def g7_rank_weighted_edges_all(spark, sf_dir):
+    """Every pair of domains that a provider cites for the same prompt, with its rank-weighted strength."""
+    return _rounded(_rank_edges(spark, sf_dir), "strength")
+
+
 def g7_rank_weighted_edges(spark, sf_dir):
-    return _rounded(graph.rank_weighted_edges(_citations(spark, sf_dir).where("provider IS NOT NULL"), ["provider"], "prompt_id", "domain", "rank").where("strength >= 0.5"), "strength")
+    """The pairs of g7_rank_weighted_edges_all of a strength of 0.5 or more, as in its SQL."""
+    return _rounded(_rank_edges(spark, sf_dir).where("strength >= 0.5"), "strength")
 
 
 def g9_edge_comparison(spark, sf_dir):
@@ -135,7 +145,7 @@ def s_sessions(spark, sf_dir):
     return activity.sessions(rows, "site_host").groupBy("site_host").agg(F.count("*").alias("sessions"), F.max("requests").alias("longest"))
 
 
-QUERIES = {f.__name__: f for f in (g7_rank_weighted_edges, g9_edge_comparison, x5_threshold_sweep, g10_bridging_prompts, p17_entity_mentions, a38_entity_comentions, p18_answer_lengths, a40_sampling_quotas, w9_capture_gaps, w7_downsampled_series, a30_owned_gap_pairs, k8_bootstrap_intervals, s5_sitemap_entries, s_stream_days, s_sessions)}
+QUERIES = {f.__name__: f for f in (g7_rank_weighted_edges, g7_rank_weighted_edges_all, g9_edge_comparison, x5_threshold_sweep, g10_bridging_prompts, p17_entity_mentions, a38_entity_comentions, p18_answer_lengths, a40_sampling_quotas, w9_capture_gaps, w7_downsampled_series, a30_owned_gap_pairs, k8_bootstrap_intervals, s5_sitemap_entries, s_stream_days, s_sessions)}
 _ENTITY = ", ".join(f"{{'entity': '{n}', 'n': len(regexp_extract_all(' ' || lower(answer_text) || ' ', '[^\\p{{L}}\\p{{N}}_](?:{'|'.join(x.replace(' ', '\\s+') for x in sorted(a, key=lambda x: (-len(x), x)))})(?:$|[^\\p{{L}}\\p{{N}}_])'))}}" for n, a in ENTITIES.items())
 _KEYS = "panel_id, provider, prompt_id"
 ORACLES = {

@@ -123,25 +123,45 @@ def a31_comparability(spark, sf_dir):
     return _rounded(panel.comparability(obs, "period", "before", "after", "context"), "tv_distance", "jaccard", "before_effective", "after_effective", "before_cv")
 
 
-def g1_cocitation(spark, sf_dir):
+def g1_cocitation_all(spark, sf_dir):
+    """Every pair of domains that a provider cites for the same prompt."""
     edges = graph.cocitation(_citations(spark, sf_dir).where("provider IS NOT NULL"), ["provider"], "prompt_id", "domain")
-    return _rounded(edges.where("both >= 3"), "jaccard", "lift", "given_left", "given_right")
+    return _rounded(edges, "jaccard", "lift", "given_left", "given_right")
+
+
+def g1_cocitation(spark, sf_dir):
+    """The pairs of g1_cocitation_all that share three or more prompts, as in its SQL."""
+    return g1_cocitation_all(spark, sf_dir).where("both >= 3")
+
+
+def _panel_edges(spark, sf_dir):
+    return graph.cocitation(_citations(spark, sf_dir), ["panel_id"], "prompt_id", "domain")
 
 
 def g2_centrality(spark, sf_dir):
-    edges = graph.cocitation(_citations(spark, sf_dir), ["panel_id"], "prompt_id", "domain").where("both >= 2")
+    """PageRank of the domains of each panel over all its co-citation edges."""
+    edges = _panel_edges(spark, sf_dir)
     return _rounded(graph.pagerank(edges, ["panel_id"], "left_item", "right_item", "both"), "pagerank")
 
 
-def g3_components(spark, sf_dir):
-    edges = graph.cocitation(_citations(spark, sf_dir), ["panel_id"], "prompt_id", "domain").where("both >= 3")
+def _panel_components(edges):
     keyed = edges.select(F.concat_ws("|", "panel_id", "left_item").alias("a"), F.concat_ws("|", "panel_id", "right_item").alias("b"))
     return graph.components(keyed, "a", "b")
 
 
+def g3_components_all(spark, sf_dir):
+    """Components of each panel's network over all its co-citation edges."""
+    return _panel_components(_panel_edges(spark, sf_dir))
+
+
+def g3_components(spark, sf_dir):
+    """Components of each panel's network over edges of three or more shared prompts, as in its SQL."""
+    return _panel_components(_panel_edges(spark, sf_dir).where("both >= 3"))
+
+
 def g4_communities(spark, sf_dir):
-    edges = graph.cocitation(_citations(spark, sf_dir), ["panel_id"], "prompt_id", "domain").where("both >= 2")
-    return graph.communities(edges, ["panel_id"], "left_item", "right_item", "both")
+    """Communities of the domains of each panel over all its co-citation edges."""
+    return graph.communities(_panel_edges(spark, sf_dir), ["panel_id"], "left_item", "right_item", "both")
 
 
 def g5_rand_index(spark, sf_dir):
@@ -184,7 +204,7 @@ _EDGES = """SELECT {g}, a.domain AS left_item, b.domain AS right_item, count(*)
 _JSD = "sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2"
 QUERIES = {
     f.__name__: f
-    for f in (a21_concentration, k12_leave_one_out, a24_provider_divergence, a26_portfolio_change, j21_paired_reach, g_reach_drop_gate, a35_first_owned, a36_retention, a32_repeatability, k14_rarefaction, a27_opportunities, a29_matched_association, w3_monthly_change, a8_pooled_slices, a37_source_categories, a39_mix_decomposition, a31_comparability, g1_cocitation, g2_centrality, g3_components, g4_communities, g5_rand_index, g8_network_overlap)
+    for f in (a21_concentration, k12_leave_one_out, a24_provider_divergence, a26_portfolio_change, j21_paired_reach, g_reach_drop_gate, a35_first_owned, a36_retention, a32_repeatability, k14_rarefaction, a27_opportunities, a29_matched_association, w3_monthly_change, a8_pooled_slices, a37_source_categories, a39_mix_decomposition, a31_comparability, g1_cocitation, g1_cocitation_all, g2_centrality, g3_components, g3_components_all, g4_communities, g5_rand_index, g8_network_overlap)
 }
 ORACLES = {
     "a21_concentration": _CTE + """, n AS (SELECT panel_id, domain, count(*) n, sum(1 / log2(rank + 1)) w FROM c GROUP BY 1, 2), k AS (SELECT panel_id, prompt_id, count(DISTINCT domain) k FROM c GROUP BY 1, 2)

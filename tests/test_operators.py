@@ -126,6 +126,28 @@ def test_communities_and_agreement(spark):
     assert graph.adjusted_rand_index(same, "p", "q").first().adjusted_rand_index == pytest.approx(1.0)
 
 
+def _observation_table(spark, folder, rows):
+    columns = "observation_id STRING, panel_id STRING, prompt_id STRING, prompt STRING, provider STRING, cited_urls ARRAY<STRING>, received_at TIMESTAMP_NTZ, topic STRING, intent STRING, answer_text STRING, citation_list_complete BOOLEAN"
+    full = [(f"o{n}", *r, datetime(2026, 2, 1), None, None, None, True) for n, r in enumerate(rows)]
+    spark.createDataFrame(full, columns).write.parquet(f"{folder}/answer_observations.parquet")
+    return str(folder)
+
+
+def test_networks_hold_every_edge(spark, tmp_path):
+    from sightline.plans import registry
+
+    urls = lambda *hosts: [f"https://{h}.test/" for h in hosts]
+    # a and b share one prompt, at such ranks that the edge's strength is under 0.5
+    data = _observation_table(spark, tmp_path, [("p", "q1", "x", "m", urls("a", "w", "v", "u", "b")), ("p", "q2", "x", "m", urls("c", "d"))])
+    queries, nodes = registry.queries(), {f"{n}.test" for n in "abuvwcd"}
+    assert {r.item for r in queries["g2_centrality"](spark, data).collect()} == nodes
+    assert {r.item for r in queries["g4_communities"](spark, data).collect()} == nodes
+    assert {r.node: r.component for r in queries["g3_components_all"](spark, data).collect()} == {f"p|{n}": "p|a.test" if n[0] in "abuvw" else "p|c.test" for n in nodes}
+    for name in ("g1_cocitation_all", "g7_rank_weighted_edges_all"):
+        edges = {(r.left_item, r.right_item) for r in queries[name](spark, data).collect()}
+        assert len(edges) == 11 and {("a.test", "b.test"), ("c.test", "d.test")} < edges
+
+
 def test_bridging_nodes(spark):
     import random
 
