@@ -129,9 +129,9 @@ def x1_similar_prompts(spark, sf_dir):
     return _rounded(_similar(spark, sf_dir), "cosine")
 
 
-def _similar(spark, sf_dir):
+def _similar(spark, sf_dir, least=0.65):
     prompts = load(spark, sf_dir, "answer_observations").where("prompt_id IS NOT NULL").groupBy("prompt_id").agg(F.min("prompt").alias("prompt"))
-    return textsim.similar_texts(prompts, "prompt_id", "prompt")
+    return textsim.similar_texts(prompts, "prompt_id", "prompt", least)
 
 
 def x3_prompt_families(spark, sf_dir):

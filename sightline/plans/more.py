@@ -52,7 +52,7 @@ def g9_edge_comparison(spark, sf_dir):
 
 
 def x5_threshold_sweep(spark, sf_dir):
-    """Families of similar prompts at rising thresholds: members, families, largest."""
+    """Families of similar prompts at the three thresholds of its SQL: members, families, largest."""
     pairs = materialize(_similar(spark, sf_dir), "similar")
     out = None
     for t in (0.7, 0.8, 0.9):
@@ -62,6 +62,23 @@ def x5_threshold_sweep(spark, sf_dir):
     return out
 
 
+#: The thresholds of the reference's sweep.
+SWEEP = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]
+
+
+def x5_threshold_sweep_all(spark, sf_dir):
+    """x5_threshold_sweep at all thresholds of the reference, over every pair of a cosine from the least of them on."""
+    levels = spark.createDataFrame([(t,) for t in SWEEP], "threshold DOUBLE")
+    pairs = materialize(_similar(spark, sf_dir, least=SWEEP[0]), "similar")
+    # one search for all thresholds: a node stands for a prompt at a threshold
+    close = pairs.join(F.broadcast(levels), F.col("cosine") >= F.col("threshold"))
+    node = lambda c: F.struct("threshold", c)
+    found = graph.components(close.select(node(F.col("a").alias("id")).alias("a"), node(F.col("b").alias("id")).alias("b")), "a", "b")
+    sizes = found.groupBy("component").agg(F.count("*").alias("n")).withColumn("threshold", F.col("component.threshold"))
+    rows = sizes.groupBy("threshold").agg(F.sum("n").alias("members"), F.count("*").alias("families"), F.max("n").alias("largest"))
+    return levels.join(rows, "threshold", "left").fillna(0, ["members", "families", "largest"])
+
+
 def g10_bridging_prompts(spark, sf_dir):
     """Prompts that alone hold a family of similar prompts together."""
     return graph.bridging_nodes(_similar(spark, sf_dir).where("cosine >= 0.7"), "a", "b")
@@ -145,7 +162,7 @@ def s_sessions(spark, sf_dir):
     return activity.sessions(rows, "site_host").groupBy("site_host").agg(F.count("*").alias("sessions"), F.max("requests").alias("longest"))
 
 
-QUERIES = {f.__name__: f for f in (g7_rank_weighted_edges, g7_rank_weighted_edges_all, g9_edge_comparison, x5_threshold_sweep, g10_bridging_prompts, p17_entity_mentions, a38_entity_comentions, p18_answer_lengths, a40_sampling_quotas, w9_capture_gaps, w7_downsampled_series, a30_owned_gap_pairs, k8_bootstrap_intervals, s5_sitemap_entries, s_stream_days, s_sessions)}
+QUERIES = {f.__name__: f for f in (g7_rank_weighted_edges, g7_rank_weighted_edges_all, g9_edge_comparison, x5_threshold_sweep, x5_threshold_sweep_all, g10_bridging_prompts, p17_entity_mentions, a38_entity_comentions, p18_answer_lengths, a40_sampling_quotas, w9_capture_gaps, w7_downsampled_series, a30_owned_gap_pairs, k8_bootstrap_intervals, s5_sitemap_entries, s_stream_days, s_sessions)}
 _ENTITY = ", ".join(f"{{'entity': '{n}', 'n': len(regexp_extract_all(' ' || lower(answer_text) || ' ', '[^\\p{{L}}\\p{{N}}_](?:{'|'.join(x.replace(' ', '\\s+') for x in sorted(a, key=lambda x: (-len(x), x)))})(?:$|[^\\p{{L}}\\p{{N}}_])'))}}" for n, a in ENTITIES.items())
 _KEYS = "panel_id, provider, prompt_id"
 ORACLES = {

@@ -148,6 +148,28 @@ def test_networks_hold_every_edge(spark, tmp_path):
         assert len(edges) == 11 and {("a.test", "b.test"), ("c.test", "d.test")} < edges
 
 
+def test_sweep_holds_every_threshold(spark, tmp_path):
+    from sightline.plans import registry
+
+    texts = ["alpha beta gamma delta", "alpha beta gamma omega", "alpha beta sigma omega", "kappa lamda", "kappa lamda", "solo words only"]
+    data = _observation_table(spark, tmp_path, [("p", f"q{n}", t, "m", None) for n, t in enumerate(texts)])
+    df = {w: sum(w in t.split() for t in texts) for t in texts for w in t.split()}
+    weigh = lambda t: {w: math.log(1 + len(texts) / df[w]) for w in t.split()}
+    size = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    cosine = lambda s, t: sum(x * t.get(w, 0) for w, x in s.items()) / size(s) / size(t)
+    want = {}
+    for level in (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95):
+        family = list(range(len(texts)))
+        for i in range(len(texts)):
+            for j in range(i):
+                if cosine(weigh(texts[i]), weigh(texts[j])) >= level:
+                    family = [family[j] if f == family[i] else f for f in family]
+        sizes = [n for n in (family.count(f) for f in set(family)) if n > 1]
+        want[level] = (sum(sizes), len(sizes), max(sizes))
+    assert want[0.5] != want[0.65]
+    assert {r.threshold: (r.members, r.families, r.largest) for r in registry.queries()["x5_threshold_sweep_all"](spark, data).collect()} == want
+
+
 def test_bridging_nodes(spark):
     import random
 
