@@ -55,15 +55,20 @@ def _ingested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return headers, drift.ingest(badrows.clean_rows(records, badrows.failed_rows(records, badrows.rule_table(spark))))
 
 
+def _promoted(table: DataFrame) -> DataFrame:
+    return drift.promote(drift.promote(table, "device", "string"), "market", "string")
+
+
 def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All readable export lines in one typed table: unknown and uncastable values rescued, `device` and `market` promoted."""
     _, table = _ingested(spark, sf_dir)
-    return drift.promote(drift.promote(table, "device", "string"), "market", "string").drop("_kinds")
+    return _promoted(table).drop("_kinds")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Header and kind changes of each export against the one before."""
+    """Header and kind changes of each export against the one before, the kinds from the written table of p4_table."""
     headers, table = _ingested(spark, sf_dir)
+    table = materialize(_promoted(table), "ingested")
     return drift.changes(load(spark, sf_dir, "bing_exports"), headers, drift.column_kinds(table))
 
 

@@ -82,3 +82,16 @@ def test_last_before_matches_plain_window(spark):
     for g, k, v in rows:
         assert got[g, k] == state.get(g)
         state[g] = v if v is not None else state.get(g)
+
+
+def test_changes_come_from_the_whole_table(spark, data, monkeypatch):
+    from sightline.plans import problems
+
+    written = {}
+    keep = problems.materialize
+    monkeypatch.setattr(problems, "materialize", lambda df, label: written.setdefault(label, keep(df, label)))
+    found = problems.p4_found(spark, data)
+    table = written["ingested"]
+    assert {"_rescued", "_kinds", "device", "market", *drift.TARGET} <= set(table.columns)
+    assert sorted(map(tuple, table.drop("_kinds").collect()), key=str) == sorted(map(tuple, problems.p4_table(spark, data).collect()), key=str)
+    assert found.where("change_kind = 'retyped'").count() > 0
