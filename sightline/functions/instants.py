@@ -87,7 +87,7 @@ def with_instant(
     if day_column:
         zoned = F.coalesce(F.col("_l") - F.col("_o"), F.col("_l"))
     elif zone:
-        known = F.col(zone).isin(sorted(available_timezones()))
+        known = F.expr(f"`{zone}` IN ({', '.join(repr(z) for z in sorted(available_timezones()))})")
         zoned = F.when(F.col("_o").isNotNull(), F.col("_l") - F.col("_o")).when(
             known, F.unix_millis(F.to_utc_timestamp(F.timestamp_millis(F.col("_l")), F.col(zone)))
         )
