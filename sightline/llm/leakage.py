@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,38 +16,63 @@ from sightline.session import materialize, small
 PASSAGE = 12
 
 
-#: Texts handed back at once by a Python worker, which bounds the word lists it holds.
+#: Rarest words of a passage that must stand at their places before its other words are looked at.
+RAREST = 4
+#: Texts handed back at once by a Python worker, which bounds the words it holds.
 _CHUNK = 256
 
 
-def _word_lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(id, w): the words of each text in order, without case and differences that can't be seen; texts that are null are left out."""
+class _Terms(dict):
+    """Words to 64-bit hashes, each computed once."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        if len(self) > 1_000_000:
+            self.clear()
+        code = xxhash.xxh64_intdigest(word)
+        self[word] = code = code - (1 << 64) if code >> 63 else code
+        return code
+
+
+def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, pos, term): the words of each text in order, without case and differences that can't be seen."""
+    codes = _Terms()
     for batch in batches:
-        for start in range(0, len(batch), _CHUNK):
-            part = batch.iloc[start : start + _CHUNK]
-            yield pd.DataFrame({"id": part["id"], "w": [words(t) for t in part["t"]]})
+        for start in range(0, batch.num_rows, _CHUNK):
+            part = batch.slice(start, _CHUNK)
+            lists = [words(t) for t in part.column(1).to_pylist()]
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            total = int(sizes.sum())
+            terms = np.fromiter((codes[w] for one in lists for w in one), np.int64, total)
+            pos = np.arange(total, dtype=np.int64) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), sizes)), pa.array(pos.astype(np.int32)), pa.array(terms)], names=["id", "pos", "term"])
 
 
 def terms(texts: DataFrame, key: str, text: str, id_name: str) -> DataFrame:
     """(id_name, pos, term) of every word, the term as a 64-bit hash. Rows with a null key or text have none."""
     plain = texts.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
-    listed = plain.mapInPandas(_word_lists, "id BIGINT, w ARRAY<STRING>")
-    return listed.select(F.col("id").alias(id_name), F.posexplode("w").alias("pos", "w")).select(id_name, "pos", F.xxhash64("w").alias("term"))
+    return plain.mapInArrow(_term_rows, "id BIGINT, pos INT, term BIGINT").withColumnRenamed("id", id_name)
 
 
 class PositionalIndex:
     """Postings (term, doc_id, pos) in segments: each written partition of documents is a segment, sorted by term.
 
     Segments need no shuffle to build and add() appends further ones; a lookup reads the row groups whose term range
-    meets the terms asked for.
+    meets the terms asked for. An index with a vocabulary (a table of terms) keeps the postings of these terms only: what
+    a fixed set of items can ask for.
     """
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
+    def __init__(self, spark: SparkSession, path: str, vocabulary: DataFrame | None = None) -> None:
         self.spark, self.path = spark, path
+        self.vocabulary = None if vocabulary is None else _hint(materialize(vocabulary.select("term").distinct(), "vocabulary"), 40)
 
     def add(self, documents: DataFrame, key: str = "doc_id", text: str = "text") -> None:
         """Indexes documents; null texts have no postings. Keys already in the index are not checked."""
-        terms(documents, key, text, "doc_id").select("term", "doc_id", "pos").sortWithinPartitions("term", "doc_id", "pos").write.mode("append").parquet(self.path)
+        rows = terms(documents, key, text, "doc_id").select("term", "doc_id", "pos")
+        if self.vocabulary is not None:
+            rows = rows.join(self.vocabulary, "term", "left_semi")
+        rows.sortWithinPartitions("term", "doc_id", "pos").write.mode("append").parquet(self.path)
 
     def postings(self) -> DataFrame:
         return self.spark.read.schema("term BIGINT, doc_id BIGINT, pos INT").parquet(self.path)
@@ -58,7 +84,7 @@ def _hint(df: DataFrame, row_bytes: int) -> DataFrame:
 
 
 def anchors(items: DataFrame, frequency: DataFrame, passage: int = PASSAGE) -> DataFrame:
-    """(item_id, pos, term, pos2, term2): the two rarest words of each passage of each item, the rarest first.
+    """(item_id, pos, term, others): the rarest word of each passage of each item, and the next rarest ones as (pos, term).
 
     `items` has item_id, pos, term; `frequency` term, df. Passages with a word that no document has are left out.
     """
@@ -66,8 +92,8 @@ def anchors(items: DataFrame, frequency: DataFrame, passage: int = PASSAGE) -> D
     ahead = Window.partitionBy("item_id").orderBy("pos").rowsBetween(0, passage - 1)
     windows = known.withColumn("found", F.count("df").over(ahead)).withColumn("r", F.array_sort(F.collect_list(F.struct("df", "pos", "term")).over(ahead)))
     rare = windows.where((F.col("found") == passage) & (F.size("r") == passage))
-    second = F.col("r")[1] if passage > 1 else F.col("r")[0]
-    return rare.select("item_id", F.col("r")[0]["pos"].alias("pos"), F.col("r")[0]["term"].alias("term"), second["pos"].alias("pos2"), second["term"].alias("term2")).distinct()
+    others = F.transform(F.slice("r", 2, RAREST - 1), lambda x: F.struct(x["pos"].alias("pos"), x["term"].alias("term")))
+    return rare.select("item_id", F.col("r")[0]["pos"].alias("pos"), F.col("r")[0]["term"].alias("term"), others.alias("others")).distinct()
 
 
 def run_anchors(items: DataFrame, frequency: DataFrame, run: int) -> DataFrame:
@@ -82,30 +108,29 @@ def run_anchors(items: DataFrame, frequency: DataFrame, run: int) -> DataFrame:
     return runs.where((F.col("words") == run) & F.col("r").isNotNull()).select("item_id", F.col("r")["term"].alias("term")).distinct()
 
 
-def exact_passages(index: PositionalIndex, item_texts: DataFrame, passage: int = PASSAGE) -> DataFrame:
+def exact_passages(index: PositionalIndex, item_texts: DataFrame, passage: int = PASSAGE, item_terms: DataFrame | None = None) -> DataFrame:
     """(doc_id, item_id, longest, doc_pos, item_pos): documents that hold `passage` or more consecutive words of an item.
 
-    `item_texts` has item_id and text. The postings of each passage's rarest word propose an alignment of item and
-    document, the second rarest word's list, moved by its offset, thins the alignments out, and for those left the lists of
-    all words around are intersected: runs of `passage` consecutive hits are leaks. One row a document and item with its
-    longest run, the first of equals. Items of fewer words have none; null texts have no words.
+    `item_texts` has item_id and text; `item_terms`, if given, is its written terms(). The postings of each passage's rarest word propose an alignment of item and
+    document; the lists of its next rarest words, moved by their offsets, must hold the place too; the alignments left are
+    intersected with the lists of all words of the item, read for their documents only, and runs of `passage` consecutive hits are
+    leaks. One row a document and item with its longest run, the first of equals. Items of fewer words have none; null texts have no words.
     """
-    item_terms = materialize(terms(item_texts, "item_id", "text", "item_id"), "item-terms")
+    item_terms = materialize(terms(item_texts, "item_id", "text", "item_id"), "item-terms") if item_terms is None else item_terms
     wanted = _hint(materialize(item_terms.select("term").distinct(), "wanted"), 40)
     frequency = index.postings().join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     rare = materialize(anchors(item_terms, frequency, passage), "anchors")
 
-    hits = index.postings().join(_hint(rare.withColumnRenamed("pos", "item_pos"), 80), "term").withColumn("shift", F.col("pos") - F.col("item_pos"))
-    second = hits.select("doc_id", "item_id", "shift", "item_pos", (F.col("shift") + F.col("pos2")).alias("pos"), F.col("term2").alias("term"))
-    second_terms = _hint(materialize(rare.select(F.col("term2").alias("term")).distinct(), "second-terms"), 40)
-    both = second.join(index.postings().join(second_terms, "term", "left_semi"), ["doc_id", "pos", "term"]).select("doc_id", "item_id", "shift", "item_pos").distinct()
-    aligned = materialize(both, "alignments")
-
-    # the words around each anchor, where the alignment expects them
-    around = F.explode(F.sequence(F.greatest(F.col("item_pos") - (passage - 1), F.lit(0)), F.col("item_pos") + (passage - 1)))
-    expected = aligned.select("doc_id", "item_id", "shift", around.alias("item_pos")).distinct().where(F.col("shift") + F.col("item_pos") >= 0)
-    item_side = _hint(item_terms.withColumnRenamed("pos", "item_pos"), 64)
-    expected = expected.join(item_side, ["item_id", "item_pos"]).select("doc_id", (F.col("shift") + F.col("item_pos")).alias("pos"), "term", "item_id", "item_pos", "shift")
+    starts = _hint(rare.select("item_id", F.col("pos").alias("item_pos"), "term", "others"), 160)
+    hits = index.postings().join(starts, "term").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "others")
+    places = hits.select("doc_id", "item_id", "shift", F.xxhash64("others").alias("anchor"), F.size("others").alias("needed"), F.explode("others").alias("o"))
+    places = places.select("doc_id", "item_id", "shift", "anchor", "needed", (F.col("shift") + F.col("o.pos")).alias("pos"), F.col("o.term").alias("term"))
+    other_terms = _hint(materialize(rare.select(F.explode("others").alias("o")).select("o.term").distinct(), "other-terms"), 40)
+    held = places.join(index.postings().join(other_terms, "term", "left_semi"), ["doc_id", "pos", "term"])
+    full = held.groupBy("doc_id", "item_id", "shift", "anchor", "needed").agg(F.count("*").alias("n")).where("n >= needed") if passage > 1 else hits
+    aligned = materialize(full.select("doc_id", "item_id", "shift").distinct(), "alignments")
+
+    expected = aligned.join(_hint(item_terms.withColumnRenamed("pos", "item_pos"), 64), "item_id").withColumn("pos", F.col("shift") + F.col("item_pos")).where("pos >= 0")
     documents = _hint(materialize(aligned.select("doc_id").distinct(), "aligned-documents"), 40)
     lists = index.postings().join(documents, "doc_id", "left_semi")
     met = expected.join(lists, ["doc_id", "pos", "term"]).select("doc_id", "item_id", "shift", "item_pos").distinct()
@@ -115,7 +140,7 @@ def exact_passages(index: PositionalIndex, item_texts: DataFrame, passage: int =
     return best.select("doc_id", "item_id", F.col("b.n").alias("longest"), (-F.col("b.unshift") - F.col("b.back")).cast("int").alias("doc_pos"), (-F.col("b.back")).cast("int").alias("item_pos"))
 
 
-def proximity_matches(index: PositionalIndex, item_texts: DataFrame, window: int = 24, least: int = 10) -> DataFrame:
+def proximity_matches(index: PositionalIndex, item_texts: DataFrame, window: int = 24, least: int = 10, item_terms: DataFrame | None = None) -> DataFrame:
     """(doc_id, item_id, terms_met, doc_pos): documents where `least` different words of an item lie close around its rarest word.
 
     Finds passages with words inserted, left out, replaced or moved, which exact_passages cuts short. The places proposed are
@@ -123,7 +148,7 @@ def proximity_matches(index: PositionalIndex, item_texts: DataFrame, window: int
     occur anywhere; the distinct item words up to window / 2 words before and after are counted from the postings. A
     passage is not proposed where it has none of these words. One row a document and item, its best place, the first of equals.
     """
-    item_terms = materialize(terms(item_texts, "item_id", "text", "item_id"), "item-terms")
+    item_terms = materialize(terms(item_texts, "item_id", "text", "item_id"), "item-terms") if item_terms is None else item_terms
     wanted = _hint(materialize(item_terms.select("term").distinct(), "wanted"), 40)
     relevant = index.postings().join(wanted, "term", "left_semi")
     rare = materialize(run_anchors(item_terms, relevant.groupBy("term").agg(F.count("*").alias("df")), least), "anchors")

@@ -68,18 +68,25 @@ def p8_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_rates(p8_packed(spark, sf_dir))
 
 
+def _leak_index(spark: SparkSession, sf_dir: str) -> tuple[leakage.PositionalIndex, DataFrame, DataFrame]:
+    """An index of all documents over the words of the evaluation items, the items, and their words."""
+    items = load(spark, sf_dir, "eval_items")
+    item_terms = materialize(leakage.terms(items, "item_id", "text", "item_id"), "item-terms")
+    index = leakage.PositionalIndex(spark, work_path(spark, "postings"), item_terms)
+    index.add(load(spark, sf_dir, "documents"))
+    return index, items, item_terms
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold twelve or more consecutive words of an evaluation item."""
-    index = leakage.PositionalIndex(spark, work_path(spark, "postings"))
-    index.add(load(spark, sf_dir, "documents"))
-    return leakage.exact_passages(index, load(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+    index, items, item_terms = _leak_index(spark, sf_dir)
+    return leakage.exact_passages(index, items, item_terms=item_terms).select("doc_id", "item_id")
 
 
 def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents where ten different words of an evaluation item lie within twelve words of the rarest word that any document has of a run of ten item words, in any order."""
-    index = leakage.PositionalIndex(spark, work_path(spark, "postings"))
-    index.add(load(spark, sf_dir, "documents"))
-    return leakage.proximity_matches(index, load(spark, sf_dir, "eval_items"))
+    index, items, item_terms = _leak_index(spark, sf_dir)
+    return leakage.proximity_matches(index, items, item_terms=item_terms)
 
 
 def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
