@@ -8,9 +8,11 @@ from functools import lru_cache
 
 #: Classes of letters with one look, by case; the first is the class's Latin letter.
 CLASSES = """
-aа cсϲ dԁ eе hһ iі jјϳ lӏ oоο pр qԛ sѕ vνѵ wԝ xх yу
-AАΑ BВΒ CСϹ EЕΕ FϜ GԌ HНΗ IІΙӀ JЈͿ KКΚ MМΜ NΝ OОΟ PРΡ QԚ SЅ TТΤ VѴ WԜ XХΧ YΥ ZΖ
+aа cсϲ dԁ eе gɡ hһ iі jјϳ lӏ oоοօ pр qԛ sѕ vνѵ wԝ xх yу
+AАΑ BВΒ CСϹ EЕΕ FϜ GԌ HНΗ IІΙӀ JЈͿ KКΚ MМΜ NΝ OОΟ PРΡ QԚ SЅ TТΤ VѴ WԜ XХΧ YΥУ ZΖ
 """.split()
+#: Small letters that look alike in some typefaces only, Latin first; read as one where the token's other letters show its script.
+SOFT = "kкκ tтτ mм".split()
 #: Code points that are never seen (format characters, joiners, selectors, fillers), as hexadecimal ranges.
 INVISIBLE = "00AD 034F 061C 115F-1160 17B4-17B5 180B-180F 200B-200F 202A-202E 2060-206F 3164 FE00-FE0F FEFF FFA0 FFF9-FFFB E0000-E0FFF"
 #: Spaces of other widths than the ordinary one.
@@ -21,6 +23,11 @@ HYPHENS = "2010 2011 2043 FE63 FF0D"
 FORMS = "0132-0133 01C4-01CC 01F1-01F3 3131-318E FB00-FDFF FE30-FFEF"
 
 
+def _char_class(ranges: str) -> str:
+    """The inside of a pattern's character class for hexadecimal ranges."""
+    return "".join("-".join(re.escape(chr(int(end, 16))) for end in span.split("-")) for span in ranges.split())
+
+
 def _points(ranges: str) -> list[str]:
     spans = [r.split("-") for r in ranges.split()]
     return [chr(c) for s in spans for c in range(int(s[0], 16), int(s[-1], 16) + 1)]
@@ -37,8 +44,11 @@ def _plain(ch: str) -> str:
 LATIN = {c: group[0] for group in CLASSES for c in group}
 #: Latin letter -> letters of that look
 MEMBERS = {group[0]: group for group in CLASSES}
-_SEEN = {ord(c): _plain(c) for c in _points(FORMS)} | {ord(c): "" for c in _points(INVISIBLE)} | {ord(c): " " for c in _points(SPACES)} | {ord(c): "-" for c in _points(HYPHENS)}
-_FOLD = {ord(c): r for c, r in LATIN.items() if c != r}
+_SEEN = {c: _plain(c) for c in _points(FORMS)} | dict.fromkeys(_points(INVISIBLE), "") | dict.fromkeys(_points(SPACES), " ") | dict.fromkeys(_points(HYPHENS), "-")
+_FOLD = {c: r for c, r in LATIN.items() if c != r}
+# patterns find the few characters to change much faster than a translation table walks over all
+_SEEN_PATTERN = re.compile(f"[{_char_class(' '.join((INVISIBLE, SPACES, HYPHENS, FORMS)))}]")
+_FOLD_PATTERN = re.compile(f"[{''.join(_FOLD)}]")
 _CYRILLIC = {ord(r): c for r, group in MEMBERS.items() for c in group if "Ѐ" <= c <= "ӿ"}
 _GREEK = {ord(r): c for r, group in MEMBERS.items() for c in group if "Ͱ" <= c <= "Ͽ"}
 
@@ -48,13 +58,17 @@ def visible(text: str) -> str:
 
     What looks different stays different: superscripts, fractions, case, accents, line breaks and added ordinary spaces.
     """
-    return text if text.isascii() else text.translate(_SEEN)
+    return text if text.isascii() else _SEEN_PATTERN.sub(lambda m: _SEEN[m[0]], text)
+
+
+def _folded(text: str) -> str:
+    return _FOLD_PATTERN.sub(lambda m: _FOLD[m[0]], text)
 
 
 def decomposed_skeleton(text: str) -> str:
     """skeleton() with accents after their letters."""
     seen = visible(text)
-    return seen if seen.isascii() else unicodedata.normalize("NFD", seen).translate(_FOLD)
+    return seen if seen.isascii() else _folded(unicodedata.normalize("NFD", seen))
 
 
 def skeleton(text: str) -> str:
@@ -88,5 +102,5 @@ def plain_letters(text: str) -> str:
     """Lower-case letters and digits only: no accents, spaces, punctuation; look-alike and full-width letters as plain ones."""
     if not text.isascii():
         text = unicodedata.normalize("NFKD", skeleton(text))
-        text = text.translate(_FOLD)
+        text = _folded(text)
     return "".join(c for c in text.lower() if c.isalnum())
