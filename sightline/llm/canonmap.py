@@ -14,6 +14,8 @@ from sightline.session import materialize, small
 
 #: Entries of one shard of the reference list; each shard is a tree sent to the executors.
 SHARD_ENTRIES = 20_000
+#: Distinct texts that meet a shard in one task.
+SHARD_TEXTS = 100_000
 _ADDRESS = re.compile(r"(?i)\bhttps?:[^\s;,)\"'>\]]*")
 
 
@@ -139,39 +141,47 @@ class PartFinder:
         return found
 
 
-def _mapper(reference: list[tuple[str, str]], radius: int):
-    """mapInPandas function: distinct texts to (text, token, distance) of the nearest entry; texts with an entry letter for letter give none."""
+class _Matcher:
+    """The nearest entry of each text by tree search over the parts that may hold one."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def __init__(self, reference: list[tuple[str, str]], radius: int) -> None:
         import ahocorasick
 
-        by_form: dict[str, str] = {}
-        exact = ahocorasick.Automaton()
+        self.by_form: dict[str, str] = {}
+        self.exact = ahocorasick.Automaton()
         for token, form in sorted(reference, reverse=True):
-            by_form[form] = token
-            exact.add_word(token.lower(), 1)
-        exact.make_automaton()
-        forms = sorted(by_form)
-        tree, finder = BkTree(forms), PartFinder(forms, radius)
-        seen: dict[str, tuple[int, str] | None] = {}
-        for batch in batches:
-            out = []
-            for text in batch["text"]:
-                if next(exact.iter(text.lower()), None) is not None:
-                    continue
-                best = None
-                for part in finder.parts(plain_letters(_ADDRESS.sub(" ", text))):
-                    if part not in seen:
-                        if len(seen) > 200_000:
-                            seen.clear()
-                        seen[part] = min(tree.within(part, radius), default=None)
-                    if seen[part] and (best is None or seen[part] < best):
-                        best = seen[part]
-                if best:
-                    out.append((text, by_form[best[1]], best[0]))
-            yield pd.DataFrame(out, columns=["text", "token", "distance"])
+            self.by_form[form] = token
+            self.exact.add_word(token.lower(), 1)
+        self.exact.make_automaton()
+        forms = sorted(self.by_form)
+        self.tree, self.finder, self.radius = BkTree(forms), PartFinder(forms, radius), radius
+        self.seen: dict[str, tuple[int, str] | None] = {}
+
+    def nearest(self, text: str) -> tuple[str, str, int] | None:
+        """(token, form, distance) of the nearest entry; distance -1 if the text holds an entry letter for letter, None without any."""
+        if next(self.exact.iter(text.lower()), None) is not None:
+            return "", "", -1
+        best = None
+        for part in self.finder.parts(plain_letters(_ADDRESS.sub(" ", text))):
+            if part not in self.seen:
+                if len(self.seen) > 200_000:
+                    self.seen.clear()
+                self.seen[part] = min(self.tree.within(part, self.radius), default=None)
+            if self.seen[part] and (best is None or self.seen[part] < best):
+                best = self.seen[part]
+        return None if best is None else (self.by_form[best[1]], best[1], best[0])
+
+
+_FOUND = "text STRING, token STRING, form STRING, distance INT"
+
+
+def _matches(matcher: _Matcher, texts: pd.Series) -> pd.DataFrame:
+    rows = [(t, *found) for t in texts if (found := matcher.nearest(t))]
+    return pd.DataFrame(rows, columns=["text", "token", "form", "distance"])
+
 
-    return run
+def _forms(tokens: list[str]) -> list[tuple[str, str]]:
+    return [(t, form) for t in tokens if (form := plain_letters(t))]
 
 
 def nearest_entries(texts: DataFrame, column: str, reference: DataFrame, token: str, radius: int = 2) -> DataFrame:
@@ -179,27 +189,38 @@ def nearest_entries(texts: DataFrame, column: str, reference: DataFrame, token:
 
     Both are compared without case, spaces, punctuation and accents, look-alike and full-width letters read as plain ones,
     and addresses (http...) left out of the text. The nearest entry is taken, of equally near ones the first in that
-    form. Null texts and entries are left out, as are entries without letters and digits. The reference list is cut
-    into shards of SHARD_ENTRIES, each searched in turn, and the shards' winners are merged.
+    form. Null texts and entries are left out, as are entries without letters and digits. A reference list of up to
+    SHARD_ENTRIES goes to the executors as one tree; a longer one is cut into shards by hash, each of which meets the texts in blocks
+    of SHARD_TEXTS on the executors, and the shards' winners are merged; a text with an exact entry in any shard is no case.
     """
     entries = materialize(reference.where(F.col(token).isNotNull()).select(F.col(token).alias("token")).distinct(), "entries")
     shards = max(1, -(-entries.count() // SHARD_ENTRIES))
     distinct = texts.where(F.col(column).isNotNull()).select(F.col(column).alias("text")).distinct()
-    if shards > 1:
-        distinct = materialize(distinct, "texts")
-    found = None
-    for k in range(shards):
-        rows = entries.where(F.pmod(F.xxhash64("token"), F.lit(shards)) == k).collect()
-        shard = [(r.token, form) for r in rows if (form := plain_letters(r.token))]
-        part = distinct.mapInPandas(_mapper(shard, radius), "text STRING, token STRING, distance INT") if shard else distinct.select("text", F.lit("").alias("token"), F.lit(0).alias("distance")).where(F.lit(False))
-        found = part if found is None else found.unionByName(part)
-    if shards > 1:
-        # a text that holds an entry of another shard letter for letter is no case
-        lowered = F.lower("text")
-        best = found.groupBy("text").agg(F.min(F.struct("distance", "token")).alias("b")).select("text", "b.token", "b.distance")
-        exact = entries.select(F.lower("token").alias("e"))
-        return best.join(exact, F.contains(lowered, F.col("e")), "left_anti")
-    return found
+    if shards == 1:
+        listed = _forms([r.token for r in entries.collect()])
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            matcher = _Matcher(listed, radius)
+            for batch in batches:
+                yield _matches(matcher, batch["text"])
+
+        if not listed:
+            return distinct.select("text", F.lit("").alias("token"), F.lit(0).alias("distance")).where(F.lit(False))
+        return distinct.mapInPandas(run, _FOUND).where("distance >= 0").drop("form")
+
+    distinct = materialize(distinct, "texts")
+    blocks = max(1, -(-distinct.count() // SHARD_TEXTS))
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    left = distinct.select("text", F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int").alias("block"), every(shards, "shard"))
+    right = entries.select("token", F.pmod(F.xxhash64("token"), F.lit(shards)).cast("int").alias("shard"), every(blocks, "block"))
+
+    def meet(some: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        listed = _forms(part["token"].tolist())
+        return _matches(_Matcher(listed, radius), some["text"]) if listed else some.head(0).assign(token="", form="", distance=0)[["text", "token", "form", "distance"]]
+
+    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(meet, _FOUND)
+    best = found.groupBy("text").agg(F.min(F.struct("distance", "form", "token")).alias("b")).where("b.distance >= 0")
+    return best.select("text", "b.token", "b.distance")
 
 
 def map_rows(rows: DataFrame, key: str, column: str, reference: DataFrame, token: str, radius: int = 2) -> DataFrame:
