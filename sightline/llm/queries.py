@@ -12,15 +12,16 @@ from sightline.session import load, materialize, work_path
 
 
 def _pair_store(spark: SparkSession, sf_dir: str) -> cooccurrence.PairStore:
-    """Pair counts of all observations: first deliveries as one batch, then the re-deliveries that came later as changes."""
+    """Pair counts and scores of all observations: first deliveries as one batch, then the re-deliveries that came later as changes."""
     rows = load(spark, sf_dir, "answer_observations").select("observation_id", "panel_id", "cited_urls", "received_at")
     items = F.transform("cited_urls", cooccurrence.domain)
     delivery = F.struct("panel_id", "cited_urls")
     by_id = rows.groupBy("observation_id").agg(F.min_by(delivery, "received_at").alias("first"), F.max_by(delivery, "received_at").alias("last"), F.count("*").alias("n"))
     by_id = materialize(by_id, "deliveries")
-    store = cooccurrence.PairStore(spark, work_path(spark, "pairs"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    store = cooccurrence.PairStore(spark, work_path(spark, "pairs"))
     baskets = lambda which: by_id.select(F.col("observation_id").alias("basket_id"), F.col(f"{which}.panel_id").alias("grp"), F.col(f"{which}.cited_urls").alias("cited_urls")).withColumn("items", items)
     store.apply(baskets("first"))
+    store.refresh()
     store.apply(baskets("last").join(by_id.where("n > 1").select(F.col("observation_id").alias("basket_id")), "basket_id", "left_semi"))
     return store
 

@@ -46,6 +46,41 @@ def test_pair_counts_follow_changes(spark):
     assert store.table("pairs").count() == len(pairs)
 
 
+def test_pair_store_survives_failures_and_other_bucket_numbers(spark, monkeypatch):
+    path, schema = work_path(spark, "test-pairs"), "basket_id STRING, grp STRING, items ARRAY<STRING>"
+    store = cooccurrence.PairStore(spark, path, buckets=3)
+    store.apply(spark.createDataFrame([(f"b{k}", "g", ["a", "b", f"x{k}"]) for k in range(20)], schema))
+    monkeypatch.setattr(store, "_publish", lambda manifest: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        store.apply(spark.createDataFrame([("b0", "g", ["a"])], schema))
+    again = cooccurrence.PairStore(spark, path, buckets=7)
+    assert again.buckets == 3 and {r.n for r in again.table("pairs").where("left_item = 'a' AND right_item = 'b'").collect()} == {20}
+    before = {tuple(r)[:4]: r.lift for r in again.scores().collect()}
+    again.apply(spark.createDataFrame([(f"b{k}", "g", ["a", "c"]) for k in range(5)], schema))
+    assert {(r.left_item, r.right_item): r.n for r in again.table("pairs").collect() if not r.right_item.startswith("x")} == {("a", "b"): 15, ("a", "c"): 5}
+    fresh = cooccurrence.PairStore(spark, work_path(spark, "test-pairs"))
+    fresh.apply(again.table("baskets"))
+    assert sorted(map(tuple, again.scores().collect())) == sorted(map(tuple, fresh.scores().collect())) and len(before) == 41
+    again.compact()
+    again.vacuum()
+    assert sorted(map(tuple, again.scores().collect())) == sorted(map(tuple, fresh.scores().collect()))
+
+
+def test_large_baskets(spark, monkeypatch):
+    monkeypatch.setattr(cooccurrence, "PIECE", 3)
+    store = cooccurrence.PairStore(spark, work_path(spark, "test-pairs"), buckets=2, compact_after=1)
+    baskets = {"a": ("g", [f"i{k}" for k in range(11)]), "b": ("g", ["i1", "i9", "i5", "i2"]), "c": ("h", ["z"])}
+    for part in (["a", "b"], ["c"]):
+        store.apply(spark.createDataFrame([(k, *baskets[k]) for k in part], "basket_id STRING, grp STRING, items ARRAY<STRING>"))
+    assert {(r.grp, r.left_item, r.right_item): r.n for r in store.table("pairs").collect()} == dict(_brute_pairs(baskets)[0])
+
+
+def test_basket_of_many_items(spark):
+    store = cooccurrence.PairStore(spark, work_path(spark, "test-pairs"))
+    store.apply(spark.createDataFrame([("a", "g", [f"{k:05}" for k in range(1500)])], "basket_id STRING, grp STRING, items ARRAY<STRING>"))
+    assert store.table("pairs").agg(F.count("*"), F.sum("n")).first() == (1500 * 1499 // 2, 1500 * 1499 // 2)
+
+
 def test_empty_pair_store(spark):
     store = cooccurrence.PairStore(spark, work_path(spark, "test-pairs"), buckets=2)
     store.apply(spark.createDataFrame([], "basket_id STRING, grp STRING, items ARRAY<STRING>"))
