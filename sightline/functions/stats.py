@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed value: the two-sided 95 % point of the normal distribution.
@@ -36,6 +36,20 @@ def sign_test_p(gained: Column, lost: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * step["total"]))
 
 
+def binomial_tail(successes: Column, trials: Column) -> Column:
+    """Chance of `successes` or more heads in `trials` throws of a fair coin; 1 without trials or for counts out of range."""
+    n, k = trials.cast("bigint"), successes.cast("bigint")
+    # the far tail is summed from its largest term; a near one is what the other side leaves
+    upper = 2 * k > n
+    h = F.when(upper, k).otherwise(n - k + 1)
+    first = F.exp(log_factorial(n) - log_factorial(h) - log_factorial(n - h) - n * 0.6931471805599453)
+    start = F.struct(first.alias("term"), first.alias("total"))
+    higher = F.when(h < n, F.sequence(h, n - 1)).otherwise(F.array().cast("array<bigint>"))
+    step = F.aggregate(higher, start, lambda s, i: F.struct((s["term"] * (n - i) / (i + 1)).alias("term"), (s["total"] + s["term"] * (n - i) / (i + 1)).alias("total")))
+    tail = F.when(h > n, 0.0).otherwise(step["total"])
+    return F.when((n < 1) | (k < 0) | (k > n), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(upper, tail).otherwise(1 - tail))))
+
+
 def erf(x: Column) -> Column:
     """The error function by Abramowitz and Stegun 7.1.26 (to 1.5e-7)."""
     a = F.abs(x)
@@ -71,17 +85,6 @@ def newcombe(x1: Column, n1: Column, x2: Column, n2: Column) -> Column:
     return F.when((n1 > 0) & (n2 > 0), F.struct(low.alias("lower"), high.alias("upper")))
 
 
-def holm(p: Column, by: WindowSpec, family: WindowSpec) -> Column:
-    """Holm's adjusted p: `by` orders a family by p and a tie-break, `family` is the same partition without order."""
-    step = F.least(F.lit(1.0), p * (F.count(p).over(family) - F.row_number().over(by) + 1))
-    return step  # the running maximum is taken by holm_running over a column of these
-
-
-def holm_running(step: Column, by: WindowSpec) -> Column:
-    """Running maximum of Holm's steps in the family's order."""
-    return F.max(step).over(by.rowsBetween(-(2**31), 0))
-
-
 def absent_share(total: Column, without: Column, sample: Column) -> Column:
     """Hypergeometric chance that `sample` of `total` units miss all units but `without`: C(without, sample) / C(total, sample)."""
     log_share = log_factorial(without) - log_factorial(without - sample) - log_factorial(total) + log_factorial(total - sample)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sightline.plans import exports, logs, more, panel, problems
+from sightline.plans import deep, exports, logs, more, panel, problems, site
 
-_MODULES = [problems, logs, panel, exports, more]
+_MODULES = [problems, logs, panel, exports, more, site, deep]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
