@@ -186,11 +186,12 @@ class PairStore:
             scores = self._scored(pairs, now)
         else:
             delta = self._read("counts", counts[done:]).select(*_KEY)
-            groups = delta.where("left_item IS NULL").select("grp").distinct()
-            items = delta.where("left_item IS NOT NULL AND right_item IS NULL").select("grp", "left_item").distinct()
+            flag = lambda d, name: d.distinct().withColumn(name, F.lit(True))
+            items = delta.where("left_item IS NOT NULL AND right_item IS NULL").select("grp", "left_item")
             own = delta.where("right_item IS NOT NULL").distinct()
-            near = [pairs.join(groups, "grp", "left_semi"), pairs.join(items, ["grp", "left_item"], "left_semi"), pairs.join(items.withColumnRenamed("left_item", "right_item"), ["grp", "right_item"], "left_semi").select(*pairs.columns), pairs.join(own, _KEY, "left_semi")]
-            moved = near[0].unionByName(near[1]).unionByName(near[2]).unionByName(near[3]).distinct()
+            marked = pairs.join(flag(delta.where("left_item IS NULL").select("grp"), "_g"), "grp", "left").join(flag(items, "_l"), ["grp", "left_item"], "left")
+            marked = marked.join(flag(items.withColumnRenamed("left_item", "right_item"), "_r"), ["grp", "right_item"], "left").join(flag(own, "_p"), _KEY, "left")
+            moved = marked.where(F.coalesce("_g", "_l", "_r", "_p").isNotNull()).select(*pairs.columns)
             gone = own.join(pairs, _KEY, "left_anti").select(*_KEY, F.lit(0).cast("bigint").alias("n"))
             scores = self._scored(moved, now).unionByName(gone, allowMissingColumns=True)
         manifest["scores"] = [*manifest.get("scores", []), self._write("scores", scores)] if done else [self._write("scores", scores)]
