@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 LATENCY_BANDS = [("<=50ms", 50), ("51-100ms", 100), ("101-250ms", 250), ("251-500ms", 500), ("501-1000ms", 1000), ("1001-2500ms", 2500), ("2501-5000ms", 5000), (">5000ms", None)]
 #: Security actions of one class each, letters only.
 SECURITY_ACTIONS = {
-    "blocking": "block connectionclose forceconnectionclose",
-    "challenge": "challenge jschallenge managedchallenge precursorinterstitialpageissued",
-    "challenge-solved-or-bypassed": "challengesolved challengebypassed jschallengesolved jschallengebypassed managedchallengenoninteractivesolved managedchallengeinteractivesolved managedchallengebypassed precursorinterstitialpagebypassed precursorinterstitialpagesolved",
-    "allow-bypass-or-skip": "allow bypass skip",
-}
-#: Cache results that are told apart.
-CACHE_RESULTS = ["Hit", "RefreshHit", "Miss", "LimitExceeded", "CapacityExceeded", "Error", "Redirect", "LambdaExecutionError"]
+    "blocking": ["block", "connectionclose", "forceconnectionclose"],
+    "challenge": ["challenge", "jschallenge", "managedchallenge", "precursorinterstitialpageissued"],
+    "challenge-solved-or-bypassed": [
+        "challengesolved", "challengebypassed", "jschallengesolved", "jschallengebypassed", "managedchallengenoninteractivesolved", "managedchallengeinteractivesolved", "managedchallengebypassed",
+        "precursorinterstitialpagebypassed", "precursorinterstitialpagesolved",
+    ],
+    "allow-bypass-or-skip": ["allow", "bypass", "skip"],
+}
+#: Cache results that are told apart; others are Other.
+CACHE_RESULTS = ["Hit", "RefreshHit", "Miss", "LimitExceeded", "CapacityExceeded", "Error"]
 
 
 def status_class(status: Column) -> Column:
@@ -61,7 +64,7 @@ def security_action(value: Column) -> Column:
     low = F.regexp_replace(F.lower(value), "[^a-z]", "")
     out = F.lit("other")
     for name, words in SECURITY_ACTIONS.items():
-        out = F.when(low.isin(words.split()), name).otherwise(out)
+        out = F.when(low.isin(words), name).otherwise(out)
     return F.when(low != "", out)
 
 

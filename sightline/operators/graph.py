@@ -20,9 +20,9 @@ def cocitation(rows: DataFrame, group: list[str], unit: str, item: str) -> DataF
     Rows with a null unit or item are left out; null groups too.
     """
     cells = rows.where(F.col(unit).isNotNull() & F.col(item).isNotNull()).select(*group, unit, item).distinct()
-    baskets = cells.groupBy(*group, unit).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    left = baskets.select(*group, "_items", F.posexplode("_items").alias("_i", "left_item"))
-    pairs = left.select(*group, "left_item", F.explode(F.slice("_items", F.col("_i") + 2, F.size("_items"))).alias("right_item")).groupBy(*group, "left_item", "right_item").agg(F.count("*").alias("both"))
+    # a join by unit, which spills and splits where a unit has many items
+    left, right = cells.withColumnRenamed(item, "left_item"), cells.withColumnRenamed(item, "right_item")
+    pairs = left.join(right, [*group, unit]).where("left_item < right_item").groupBy(*group, "left_item", "right_item").agg(F.count("*").alias("both"))
     sizes = cells.groupBy(*group, item).agg(F.count("*").alias("n"))
     totals = cells.select(*group, unit).distinct().groupBy(*group).agg(F.count("*").alias("units"))
     side = lambda s: sizes.select(*group, F.col(item).alias(f"{s}_item"), F.col("n").alias(f"{s}_units"))

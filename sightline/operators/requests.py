@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sightline.functions import logs
 from sightline.functions.normalize import path_family, path_of
+from sightline.operators.loglines import valid_address
 
 #: Crawler catalogs are reference lists; a larger one is refused.
 MAX_CATALOG = 10_000
@@ -134,23 +135,56 @@ def ipv4_number(address: Column) -> Column:
 
 
 def in_ranges(rows: DataFrame, ranges: DataFrame, address: str = "client_ip", out: str = "in_range") -> DataFrame:
-    """Adds whether an IPv4 address lies in one of the ranges (lo, hi as numbers); null for other addresses.
+    """Adds whether an IPv4 address lies in one of the ranges (lo, hi as numbers); null for other addresses. See in_networks for both kinds.
 
-    Overlapping ranges are merged to disjoint ones first. Addresses and ranges meet in /16 blocks by an equi-join: a range
-    is listed once for each block it touches, and within a block disjoint ranges are few.
+    Addresses and ranges meet in /16 blocks by an equi-join: a range is listed once for each block it touches, so ranges may overlap.
     """
-    by_lo = Window.orderBy("lo", "hi")
-    merged = ranges.where("lo <= hi").withColumn("_m", F.max("hi").over(by_lo.rowsBetween(Window.unboundedPreceding, -1)))
-    islands = merged.withColumn("_i", F.sum(F.when(F.col("_m") + 1 >= F.col("lo"), 0).otherwise(1)).over(by_lo.rowsBetween(Window.unboundedPreceding, 0)))
-    disjoint = islands.groupBy("_i").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"))
-    blocks = disjoint.select("_lo", "_hi", F.explode(F.sequence(F.floor(F.col("_lo") / 65536), F.floor(F.col("_hi") / 65536))).alias("_block"))
+    blocks = ranges.where("lo <= hi").select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.explode(F.sequence(F.floor(F.col("lo") / 65536), F.floor(F.col("hi") / 65536))).alias("_block"))
     numbered = rows.withColumn("_ip", ipv4_number(F.col(address))).withColumn("_block", F.floor(F.col("_ip") / 65536))
-    per_block = blocks.groupBy("_block").agg(F.collect_list(F.struct("_lo", "_hi")).alias("_ranges"))
+    per_block = blocks.groupBy("_block").agg(F.collect_set(F.struct("_lo", "_hi")).alias("_ranges"))
     joined = numbered.join(per_block, "_block", "left")
     hit = F.coalesce(F.exists("_ranges", lambda r: F.col("_ip").between(r["_lo"], r["_hi"])), F.lit(False))
     return joined.withColumn(out, F.when(F.col("_ip").isNotNull(), hit)).drop("_ip", "_block", "_ranges")
 
 
+def address_key(address: Column) -> Column:
+    """An address as text that sorts as its number: 4 and 8 hexadecimal digits, or 6 and 32; IPv4 addresses inside IPv6 are IPv4. Null for anything else."""
+    low = F.lower(address)
+    v4 = ipv4_number(F.regexp_replace(low, r"^(?:0{0,4}:)*:?ffff:(?=\d+\.)", ""))
+    tail = ipv4_number(F.regexp_extract(low, r":([0-9.]+)$", 1))
+    plain = F.when(tail.isNotNull(), F.concat(F.regexp_replace(low, r"[0-9.]+$", ""), F.lower(F.hex(F.floor(tail / 65536))), F.lit(":"), F.lower(F.hex(tail % 65536)))).otherwise(low)
+    groups = lambda text: F.filter(F.split(text, ":"), lambda g: g != "")
+    left, right = groups(F.substring_index(plain, "::", 1)), F.when(F.contains(plain, F.lit("::")), groups(F.substring_index(plain, "::", -1))).otherwise(F.array().cast("array<string>"))
+    whole = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - F.size(left) - F.size(right), F.lit(0))), right)
+    v6 = F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), "")
+    mapped = v6.rlike("^0{20}f{4}")
+    return F.when(v4.isNotNull(), F.concat(F.lit("4"), F.lpad(F.lower(F.hex(v4)), 8, "0"))).when(valid_address(low), F.when(mapped, F.concat(F.lit("4"), F.right(v6, F.lit(8)))).otherwise(F.concat(F.lit("6"), v6)))
+
+
+def network_table(spark: SparkSession, networks: list[str]) -> DataFrame:
+    """(block, lo, hi) of networks in CIDR form, a reference list: the ranges of address_key, joined where they touch, by the block (a /16, or a /32 of IPv6) they lie in, or by their kind if they are larger."""
+    import ipaddress
+
+    found = [ipaddress.ip_network(n.strip(), strict=False) for n in networks]
+    found = [ipaddress.ip_network((int(n.network_address) & 0xFFFFFFFF, n.prefixlen - 96)) if n.version == 6 and n.network_address.ipv4_mapped and n.prefixlen >= 96 else n for n in found]
+    rows = []
+    for version, digits, fine in ((4, 8, 16), (6, 32, 32)):
+        for n in ipaddress.collapse_addresses(x for x in found if x.version == version):
+            lo, hi = (f"{version}{int(a):0{digits}x}" for a in (n.network_address, n.broadcast_address))
+            rows.append((lo[: 1 + fine // 4] if n.prefixlen >= fine else str(version), lo, hi))
+    return spark.createDataFrame(rows, "block STRING, lo STRING, hi STRING")
+
+
+def in_networks(rows: DataFrame, networks: DataFrame, address: str = "client_ip", out: str = "in_range") -> DataFrame:
+    """Adds whether an IPv4 or IPv6 address lies in one of the networks of network_table; null for texts that are no address."""
+    listed = networks.groupBy("block").agg(F.collect_set(F.struct("lo", "hi")).alias("_n"))
+    key = F.col("_key")
+    keyed = rows.withColumn("_key", address_key(F.col(address))).withColumn("_fine", F.when(key.startswith("4"), F.left(key, F.lit(5))).otherwise(F.left(key, F.lit(9)))).withColumn("_kind", F.left(key, F.lit(1)))
+    joined = keyed.join(listed.withColumnsRenamed({"block": "_fine", "_n": "_near"}), "_fine", "left").join(F.broadcast(listed.where(F.length("block") == 1).withColumnsRenamed({"block": "_kind", "_n": "_wide"})), "_kind", "left")
+    inside = lambda c: F.coalesce(F.exists(c, lambda r: key.between(r["lo"], r["hi"])), F.lit(False))
+    return joined.withColumn(out, F.when(key.isNotNull(), inside("_near") | inside("_wide"))).drop("_key", "_fine", "_kind", "_near", "_wide")
+
+
 def cidr_range(cidr: Column) -> Column:
     """STRUCT<lo, hi> of an IPv4 network in CIDR form; null for anything else."""
     bits = F.split_part(cidr, F.lit("/"), F.lit(2)).try_cast("int")

@@ -121,7 +121,7 @@ def a17_duplicate_texts(spark, sf_dir):
 
 
 def a15_language_coverage(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").withColumn("language", F.lower(F.substring(F.trim("lang"), 1, 2)))
+    docs = load(spark, sf_dir, "documents").withColumn("language", F.regexp_replace(F.lower(F.trim("lang")), "_", "-"))
     return docs.groupBy("source").agg(F.count("*").alias("documents"), F.count("language").alias("with_language"), F.countDistinct("language").alias("languages"), F.count_if(F.length("text") >= 1000).alias("long_documents"))
 
 
@@ -201,7 +201,7 @@ ORACLES = {
     "a13_page_families": _CTE + f", f AS (SELECT *, 'https://' || {_HOST.format('page')} AS origin, {_SEG} AS s FROM r WHERE page IS NOT NULL) SELECT origin, CASE WHEN len(s) = 0 THEN '/' ELSE '/' || CASE WHEN regexp_matches(s[1], '^([0-9]{{5,}}|[0-9a-fA-F]{{16,}})$') THEN ':id' ELSE s[1] END || CASE WHEN len(s) > 1 THEN '/*' ELSE '' END END AS family, CAST(sum(citations) AS BIGINT) citations, count(DISTINCT page) pages FROM f GROUP BY 1, 2",
     "s21_safe_cells": _CTE + ", c AS (SELECT row_id, CASE WHEN row_id % 3 = 0 THEN '=' ELSE '' END || coalesce(query, '') AS x FROM r) SELECT row_id, CASE WHEN regexp_matches(x, '^\\s*[=+@-]') THEN '''' || x ELSE x END AS cell FROM c",
     "a17_duplicate_texts": "SELECT sha256(lower(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')))) AS key, count(*) AS rows, min(doc_id) first_doc_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
-    "a15_language_coverage": "SELECT source, count(*) documents, count(lang) with_language, count(DISTINCT lower(substring(trim(lang), 1, 2))) languages, count(*) FILTER (length(text) >= 1000) long_documents FROM documents GROUP BY 1",
+    "a15_language_coverage": "SELECT source, count(*) documents, count(lang) with_language, count(DISTINCT replace(lower(trim(lang)), '_', '-')) languages, count(*) FILTER (length(text) >= 1000) long_documents FROM documents GROUP BY 1",
     "x1_similar_prompts": _TFIDF + " SELECT a, b, round(cosine, 9) AS cosine FROM s",
     "x3_prompt_families": _TFIDF.replace("WITH p AS", "WITH RECURSIVE p AS", 1) + """, e AS (SELECT * FROM s WHERE cosine >= 0.85), z AS (SELECT a, b FROM e UNION SELECT b, a FROM e), q AS (SELECT a, a AS b FROM z UNION SELECT q.a, z.b FROM q JOIN z ON z.a = q.b), m AS (SELECT a AS node, min(b) AS family FROM q GROUP BY 1)
         SELECT family, any_value(members) members, count(*) pairs, round(min(cosine), 9) min_cosine, round(avg(cosine), 9) mean_cosine, round(max(cosine), 9) max_cosine, round(count(*) / (any_value(members) * (any_value(members) - 1) / 2), 9) density FROM e JOIN m ON e.a = m.node JOIN (SELECT family, count(*) members FROM m GROUP BY 1) USING (family) GROUP BY family""",

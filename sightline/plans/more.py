@@ -18,18 +18,9 @@ from sightline.streaming import activity
 ENTITIES = {"sitemap": ["sitemap", "site map"], "answer block": ["answer block", "answer blocks"], "robots rule": ["robots rule", "robots rules"], "canonical link": ["canonical link", "canonical links"]}
 
 
-def _rank_edges(spark, sf_dir):
-    return graph.rank_weighted_edges(_citations(spark, sf_dir).where("provider IS NOT NULL"), ["provider"], "prompt_id", "domain", "rank")
-
-
-def g7_rank_weighted_edges_all(spark, sf_dir):
-    """Every pair of domains that a provider cites for the same prompt, with its rank-weighted strength."""
-    return _rounded(_rank_edges(spark, sf_dir), "strength")
-
-
 def g7_rank_weighted_edges(spark, sf_dir):
-    """The pairs of g7_rank_weighted_edges_all of a strength of 0.5 or more, as in its SQL."""
-    return _rounded(_rank_edges(spark, sf_dir).where("strength >= 0.5"), "strength")
+    """Every pair of domains that a provider cites for the same prompt, with its rank-weighted strength."""
+    return _rounded(graph.rank_weighted_edges(_citations(spark, sf_dir).where("provider IS NOT NULL"), ["provider"], "prompt_id", "domain", "rank"), "strength")
 
 
 def g9_edge_comparison(spark, sf_dir):
@@ -37,8 +28,6 @@ def g9_edge_comparison(spark, sf_dir):
     rows = _citations(spark, sf_dir).where("provider IS NOT NULL").select("provider", "prompt_id", "domain").distinct()
     prompts = rows.select("provider", "prompt_id").distinct()
     edges = rows.withColumnRenamed("domain", "x").join(rows.withColumnRenamed("domain", "y"), ["provider", "prompt_id"]).where("x < y").select("provider", "prompt_id", F.concat_ws("|", "x", "y").alias("edge"))
-    frequent = edges.groupBy("edge").agg(F.count("*").alias("n")).where("n >= 10").select("edge")
-    edges = edges.join(frequent, "edge", "left_semi")
     pa, pb = prompts.select(F.col("provider").alias("side_a"), "prompt_id"), prompts.select(F.col("provider").alias("side_b"), "prompt_id")
     both = materialize(pa.join(pb, "prompt_id").where("side_a < side_b"), "shared-prompts")
     n = both.groupBy("side_a", "side_b").agg(F.count("*").alias("prompts"))
@@ -162,11 +151,11 @@ def s_sessions(spark, sf_dir):
     return activity.sessions(rows, "site_host").groupBy("site_host").agg(F.count("*").alias("sessions"), F.max("requests").alias("longest"))
 
 
-QUERIES = {f.__name__: f for f in (g7_rank_weighted_edges, g7_rank_weighted_edges_all, g9_edge_comparison, x5_threshold_sweep, x5_threshold_sweep_all, g10_bridging_prompts, p17_entity_mentions, a38_entity_comentions, p18_answer_lengths, a40_sampling_quotas, w9_capture_gaps, w7_downsampled_series, a30_owned_gap_pairs, k8_bootstrap_intervals, s5_sitemap_entries, s_stream_days, s_sessions)}
+QUERIES = {f.__name__: f for f in (g7_rank_weighted_edges, g9_edge_comparison, x5_threshold_sweep, x5_threshold_sweep_all, g10_bridging_prompts, p17_entity_mentions, a38_entity_comentions, p18_answer_lengths, a40_sampling_quotas, w9_capture_gaps, w7_downsampled_series, a30_owned_gap_pairs, k8_bootstrap_intervals, s5_sitemap_entries, s_stream_days, s_sessions)}
 _ENTITY = ", ".join(f"{{'entity': '{n}', 'n': len(regexp_extract_all(' ' || lower(answer_text) || ' ', '[^\\p{{L}}\\p{{N}}_](?:{'|'.join(x.replace(' ', '\\s+') for x in sorted(a, key=lambda x: (-len(x), x)))})(?:$|[^\\p{{L}}\\p{{N}}_])'))}}" for n, a in ENTITIES.items())
 _KEYS = "panel_id, provider, prompt_id"
 ORACLES = {
-    "g7_rank_weighted_edges": _CTE + ", w AS (SELECT provider, prompt_id, domain, sum(1 / log2(rank + 1)) w FROM c WHERE provider IS NOT NULL GROUP BY ALL), s AS (SELECT *, w / sum(w) OVER (PARTITION BY provider, prompt_id) AS s FROM w) SELECT provider, a.domain left_item, b.domain right_item, round(sum(sqrt(a.s * b.s)), 9) strength FROM s a JOIN s b USING (provider, prompt_id) WHERE a.domain < b.domain GROUP BY 1, 2, 3 HAVING sum(sqrt(a.s * b.s)) >= 0.5",
+    "g7_rank_weighted_edges": _CTE + ", w AS (SELECT provider, prompt_id, domain, sum(1 / log2(rank + 1)) w FROM c WHERE provider IS NOT NULL GROUP BY ALL), s AS (SELECT *, w / sum(w) OVER (PARTITION BY provider, prompt_id) AS s FROM w) SELECT provider, a.domain left_item, b.domain right_item, round(sum(sqrt(a.s * b.s)), 9) strength FROM s a JOIN s b USING (provider, prompt_id) WHERE a.domain < b.domain GROUP BY 1, 2, 3",
     "p17_entity_mentions": _CTE + f", m AS (SELECT unnest([{_ENTITY}]) AS m FROM o WHERE answer_text IS NOT NULL) SELECT m.entity AS entity, count(*) FILTER (m.n > 0) answers, CAST(sum(m.n) AS BIGINT) mentions FROM m GROUP BY 1",
     "a38_entity_comentions": _CTE + f", m AS (SELECT DISTINCT observation_id, m.entity AS e FROM (SELECT observation_id, unnest([{_ENTITY}]) AS m FROM o WHERE answer_text IS NOT NULL) WHERE m.n > 0), k AS (SELECT e, count(*) n FROM m GROUP BY 1), t AS (SELECT count(DISTINCT observation_id) n FROM m), p AS (SELECT a.e x, b.e y, count(*) n FROM m a JOIN m b USING (observation_id) WHERE a.e < b.e GROUP BY 1, 2) SELECT 'all' AS scope, x AS left_item, y AS right_item, p.n AS \"both\", kx.n AS left_units, ky.n AS right_units, t.n AS units, round(p.n / (kx.n + ky.n - p.n), 9) jaccard, round(p.n * t.n / (kx.n * ky.n), 9) lift, round(p.n / kx.n, 9) given_left, round(p.n / ky.n, 9) given_right FROM p JOIN k kx ON kx.e = x JOIN k ky ON ky.e = y, t",
     "p18_answer_lengths": _CTE + r", w AS (SELECT provider, len(regexp_split_to_array(trim(answer_text), '[ \t\n\x0B\f\r]+')) n FROM o WHERE trim(answer_text) <> '') SELECT provider, CASE WHEN n <= 10 THEN '1-10' WHEN n <= 20 THEN '11-20' WHEN n <= 40 THEN '21-40' ELSE '41+' END AS band, count(*) answers FROM w GROUP BY 1, 2",

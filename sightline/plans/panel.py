@@ -123,17 +123,12 @@ def a31_comparability(spark, sf_dir):
     return _rounded(panel.comparability(obs, "period", "before", "after", "context"), "tv_distance", "jaccard", "before_effective", "after_effective", "before_cv")
 
 
-def g1_cocitation_all(spark, sf_dir):
+def g1_cocitation(spark, sf_dir):
     """Every pair of domains that a provider cites for the same prompt."""
     edges = graph.cocitation(_citations(spark, sf_dir).where("provider IS NOT NULL"), ["provider"], "prompt_id", "domain")
     return _rounded(edges, "jaccard", "lift", "given_left", "given_right")
 
 
-def g1_cocitation(spark, sf_dir):
-    """The pairs of g1_cocitation_all that share three or more prompts, as in its SQL."""
-    return g1_cocitation_all(spark, sf_dir).where("both >= 3")
-
-
 def _panel_edges(spark, sf_dir):
     return graph.cocitation(_citations(spark, sf_dir), ["panel_id"], "prompt_id", "domain")
 
@@ -204,7 +199,7 @@ _EDGES = """SELECT {g}, a.domain AS left_item, b.domain AS right_item, count(*)
 _JSD = "sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2"
 QUERIES = {
     f.__name__: f
-    for f in (a21_concentration, k12_leave_one_out, a24_provider_divergence, a26_portfolio_change, j21_paired_reach, g_reach_drop_gate, a35_first_owned, a36_retention, a32_repeatability, k14_rarefaction, a27_opportunities, a29_matched_association, w3_monthly_change, a8_pooled_slices, a37_source_categories, a39_mix_decomposition, a31_comparability, g1_cocitation, g1_cocitation_all, g2_centrality, g3_components, g3_components_all, g4_communities, g5_rand_index, g8_network_overlap)
+    for f in (a21_concentration, k12_leave_one_out, a24_provider_divergence, a26_portfolio_change, j21_paired_reach, g_reach_drop_gate, a35_first_owned, a36_retention, a32_repeatability, k14_rarefaction, a27_opportunities, a29_matched_association, w3_monthly_change, a8_pooled_slices, a37_source_categories, a39_mix_decomposition, a31_comparability, g1_cocitation, g2_centrality, g3_components, g3_components_all, g4_communities, g5_rand_index, g8_network_overlap)
 }
 ORACLES = {
     "a21_concentration": _CTE + """, n AS (SELECT panel_id, domain, count(*) n, sum(1 / log2(rank + 1)) w FROM c GROUP BY 1, 2), k AS (SELECT panel_id, prompt_id, count(DISTINCT domain) k FROM c GROUP BY 1, 2)
@@ -257,7 +252,7 @@ ORACLES = {
         round(stddev_pop(b) FILTER (b > 0) / avg(b) FILTER (b > 0), 9) before_cv FROM t""",
     "g1_cocitation": _CTE + f""", e AS ({_EDGES.format(g="provider", w="WHERE provider IS NOT NULL")}), d AS (SELECT provider, domain, count(DISTINCT prompt_id) n FROM c WHERE provider IS NOT NULL GROUP BY 1, 2), t AS (SELECT provider, count(DISTINCT prompt_id) n FROM c WHERE provider IS NOT NULL GROUP BY 1)
         SELECT provider, left_item, right_item, "both", x.n AS left_units, y.n AS right_units, t.n AS units, round("both" / (x.n + y.n - "both"), 9) jaccard, round("both" * t.n / (x.n * y.n), 9) lift, round("both" / x.n, 9) given_left, round("both" / y.n, 9) given_right
-        FROM e JOIN d x ON x.provider = e.provider AND x.domain = left_item JOIN d y ON y.provider = e.provider AND y.domain = right_item JOIN t ON t.provider = e.provider WHERE "both" >= 3""".replace("SELECT provider, left_item", "SELECT e.provider, left_item"),
+        FROM e JOIN d x ON x.provider = e.provider AND x.domain = left_item JOIN d y ON y.provider = e.provider AND y.domain = right_item JOIN t ON t.provider = e.provider""".replace("SELECT provider, left_item", "SELECT e.provider, left_item"),
     "g5_rand_index": _CTE + """, r AS (SELECT * FROM c WHERE topic IS NOT NULL AND provider IS NOT NULL), t AS (SELECT domain, arg_min(topic, row(-n, topic)) AS topic FROM (SELECT domain, topic, count(*) n FROM r GROUP BY 1, 2) GROUP BY 1),
         p AS (SELECT domain, arg_min(provider, row(-n, provider)) AS provider FROM (SELECT domain, provider, count(*) n FROM r GROUP BY 1, 2) GROUP BY 1), k AS (SELECT topic, provider, count(*) n FROM t JOIN p USING (domain) GROUP BY 1, 2),
         s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM k) ij, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) n FROM k GROUP BY topic)) i, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) n FROM k GROUP BY provider)) j, (SELECT sum(n) * (sum(n) - 1) / 2 FROM k) t, (SELECT CAST(sum(n) AS BIGINT) FROM k) items)

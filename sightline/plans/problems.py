@@ -90,14 +90,17 @@ def _per_delimiter(expression: int) -> str:
 
 _UNQUOTE = "CASE WHEN c LIKE '\"%' THEN replace(c[2:-2], '\"\"', '\"') ELSE c END"
 _HEADER_FORM = "trim(regexp_replace(replace(replace(strip_accents(lower(c)), 'ß', 'ss'), 'ı', 'i'), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
-#: Records under their export's header for the SQL side: q holds export_id, line_no, sound, cells, fields, terms.
-_RECORDS = f"""WITH l AS (SELECT export_id, line_no, regexp_replace(min(raw_line), '^' || chr(65279) || '|' || chr(13) || '$', '') AS s FROM bing_export_lines GROUP BY 1, 2),
-    o AS (SELECT export_id, line_no, d, {_per_delimiter(0)} AS sound, list_transform({_per_delimiter(1)}, lambda c: {_UNQUOTE}) AS cells FROM l, (SELECT unnest([',', ';', chr(9), '|']) AS d)),
+_FIRST_CELL = "trim(regexp_replace(replace(replace(strip_accents(lower(regexp_extract(s, '^\"?([^,;' || chr(9) || '|]*)', 1))), 'ß', 'ss'), 'ı', 'i'), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
+#: Records under their export's header for the SQL side: q holds export_id, line_no, sound, cells, fields, terms. Only lines whose first
+#: cell is a known wording are tried as headers, and each line is cut by its export's delimiter alone.
+_RECORDS = f"""WITH l AS MATERIALIZED (SELECT export_id, line_no, regexp_replace(min(raw_line), '^' || chr(65279) || '|' || chr(13) || '$', '') AS s FROM bing_export_lines GROUP BY 1, 2),
     t AS (SELECT list(term) AS ts, map_from_entries(list((term, field))) AS m FROM export_header_terms),
-    n AS (SELECT export_id, line_no, d, list_transform(cells, lambda c: {_HEADER_FORM}) AS terms FROM o WHERE sound),
+    w AS MATERIALIZED (SELECT l.* FROM l JOIN export_header_terms ON {_FIRST_CELL} = term),
+    n AS MATERIALIZED (SELECT export_id, line_no, d, list_transform(list_transform({_per_delimiter(1)}, lambda c: {_UNQUOTE}), lambda c: {_HEADER_FORM}) AS terms FROM w, (SELECT unnest([',', ';', chr(9), '|']) AS d) WHERE {_per_delimiter(0)}),
     h AS (SELECT export_id, arg_max((line_no, d, terms), len(terms) * 1000000 - line_no) AS b FROM n, t WHERE len(list_filter(terms, lambda x: NOT list_contains(ts, x))) = 0 GROUP BY 1),
-    g AS (SELECT export_id, b[1] AS header_line, b[2] AS d, b[3] AS terms, list_transform(b[3], lambda x: m[x]) AS fields FROM h, t),
-    q AS (SELECT o.export_id, o.line_no, o.sound, o.cells, g.fields, g.terms FROM o JOIN g ON g.export_id = o.export_id AND g.d = o.d WHERE o.line_no > g.header_line),
+    g AS MATERIALIZED (SELECT export_id, b[1] AS header_line, b[2] AS d, b[3] AS terms, list_transform(b[3], lambda x: m[x]) AS fields FROM h, t),
+    cl AS MATERIALIZED (SELECT l.export_id, l.line_no, l.s, g.d, g.fields, g.terms FROM l JOIN g USING (export_id) WHERE l.line_no > g.header_line),
+    q AS (SELECT export_id, line_no, fields, terms, {_per_delimiter(0)} AS sound, list_transform({_per_delimiter(1)}, lambda c: {_UNQUOTE}) AS cells FROM cl),
     r AS (SELECT *, CASE WHEN NOT sound THEN 'quoting' WHEN len(cells) <> len(fields) THEN 'column_count' WHEN coalesce(cells[list_position(fields, 'url')], '') <> '' AND NOT regexp_matches(cells[list_position(fields, 'url')], '^(?i:https?)://[^\\s/?#:@]\\S*$') THEN 'url'
         WHEN coalesce(cells[list_position(fields, 'citations')], '') <> '' AND NOT regexp_matches(cells[list_position(fields, 'citations')], '^[0-9]+([.,][0-9]+)?$') THEN 'citations' END AS reason FROM q)
 """

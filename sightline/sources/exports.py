@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,5 +82,16 @@ def read_records(lines: DataFrame, terms: DataFrame, headers: DataFrame | None =
     return joined.select("export_id", "line_no", "raw_line", "fields", split_cells(without_mark(F.col("raw_line")), F.col("delimiter")).alias("cells"))
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+#: Kinds of export by the fields that its header must have, the first that holds.
+DATASET_KINDS = [
+    ("query-page-mapping", ["url", "query"]), ("page-citations", ["url"]), ("grounding-queries", ["query"]), ("time-series", ["date"]),
+    ("topic-intent-summary", ["topic", "intent"]), ("topic-summary", ["topic"]), ("intent-summary", ["intent"]),
+]
+
+
+def dataset_kind(fields: Column) -> Column:
+    """What an export holds, by the fields of its header; overview without any dimension."""
+    out = F.lit("overview")
+    for kind, needed in reversed(DATASET_KINDS):
+        out = F.when(F.size(F.array_except(F.array(*[F.lit(f) for f in needed]), fields)) == 0, kind).otherwise(out)
+    return F.when(fields.isNotNull(), out)
