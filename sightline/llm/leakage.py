@@ -96,16 +96,11 @@ def anchors(items: DataFrame, frequency: DataFrame, passage: int = PASSAGE) -> D
     return rare.select("item_id", F.col("r")[0]["pos"].alias("pos"), F.col("r")[0]["term"].alias("term"), others.alias("others")).distinct()
 
 
-def run_anchors(items: DataFrame, frequency: DataFrame, run: int) -> DataFrame:
-    """(item_id, term): of each run of `run` words of each item the rarest word that a document has.
-
-    `items` has item_id, pos, term; `frequency` term, df. Words that no document has are passed over; only runs of nothing else have none.
-    """
-    known = items.join(frequency, "term", "left")
-    ahead = Window.partitionBy("item_id").orderBy("pos").rowsBetween(0, run - 1)
-    rarest = F.min(F.when(F.col("df").isNotNull(), F.struct("df", "pos", "term"))).over(ahead)
-    runs = known.withColumn("words", F.count("*").over(ahead)).withColumn("r", rarest)
-    return runs.where((F.col("words") == run) & F.col("r").isNotNull()).select("item_id", F.col("r")["term"].alias("term")).distinct()
+def telling_terms(items: DataFrame, frequency: DataFrame, spare: int) -> DataFrame:
+    """(item_id, term, telling): the distinct words of each item that documents hold; telling are all but the `spare` most frequent."""
+    known = items.select("item_id", "term").distinct().join(frequency, "term")
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("df"), "term"))
+    return known.select("item_id", "term", (place > spare).alias("telling"))
 
 
 def exact_passages(index: PositionalIndex, item_texts: DataFrame, passage: int = PASSAGE, item_terms: DataFrame | None = None) -> DataFrame:
@@ -140,24 +135,27 @@ def exact_passages(index: PositionalIndex, item_texts: DataFrame, passage: int =
     return best.select("doc_id", "item_id", F.col("b.n").alias("longest"), (-F.col("b.unshift") - F.col("b.back")).cast("int").alias("doc_pos"), (-F.col("b.back")).cast("int").alias("item_pos"))
 
 
-def proximity_matches(index: PositionalIndex, item_texts: DataFrame, window: int = 24, least: int = 10, item_terms: DataFrame | None = None) -> DataFrame:
-    """(doc_id, item_id, terms_met, doc_pos): documents where `least` different words of an item lie close around its rarest word.
+def proximity_matches(index: PositionalIndex, item_texts: DataFrame, window: int = 16, least: int = 10, sure: int = 4, item_terms: DataFrame | None = None) -> DataFrame:
+    """(doc_id, item_id, terms_met, doc_pos): documents where `least` different words of an item lie within `window` consecutive words, in any order.
 
-    Finds passages with words inserted, left out, replaced or moved, which exact_passages cuts short. The places proposed are
-    those of the rarest word that the index holds of each run of `least` item words, whether or not the run's other words
-    occur anywhere; the distinct item words up to window / 2 words before and after are counted from the postings. A
-    passage is not proposed where it has none of these words. One row a document and item, its best place, the first of equals.
+    Finds passages with words inserted, left out, replaced or moved, which exact_passages cuts short, and finds all of them: of
+    `least` words at most `least - sure` can be among as many most frequent ones of the item, so a document must hold `sure` of its other,
+    telling words, whose postings are counted first; the lists of all words are read for the documents and items left, and slid over by the
+    window. One row a document and item: the most words met and the first place of so many. Items of fewer words have none.
     """
     item_terms = materialize(terms(item_texts, "item_id", "text", "item_id"), "item-terms") if item_terms is None else item_terms
     wanted = _hint(materialize(item_terms.select("term").distinct(), "wanted"), 40)
-    relevant = index.postings().join(wanted, "term", "left_semi")
-    rare = materialize(run_anchors(item_terms, relevant.groupBy("term").agg(F.count("*").alias("df")), least), "anchors")
-    places = index.postings().join(_hint(rare, 64), "term").select("doc_id", "item_id", F.col("pos").alias("at")).distinct()
-    places = materialize(places, "places").withColumn("cell", F.explode(F.array(*[F.floor(F.col("at") / window) + k for k in (-1, 0, 1)])))
-    documents = _hint(materialize(places.select("doc_id").distinct(), "place-documents"), 40)
-    lists = relevant.join(documents, "doc_id", "left_semi").withColumn("cell", F.floor(F.col("pos") / window))
-    near = places.join(lists, ["doc_id", "cell"]).where(F.abs(F.col("pos") - F.col("at")) <= window // 2)
-    met = near.join(_hint(item_terms.select("item_id", "term").distinct(), 48), ["item_id", "term"])
-    counts = met.select("doc_id", "item_id", "at", "term").distinct().groupBy("doc_id", "item_id", "at").agg(F.count("*").alias("n"))
-    best = counts.where(F.col("n") >= least).groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("n"), (-F.col("at")).alias("back"))).alias("b"))
+    frequency = index.postings().join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    known = materialize(telling_terms(item_terms, frequency, least - sure), "telling-terms")
+    telling = _hint(known.where("telling").drop("telling"), 40)
+    # each word once a document, before it meets the items that have it
+    seen = index.postings().select("doc_id", "term").join(_hint(known.where("telling").select("term").distinct(), 24), "term", "left_semi").distinct()
+    enough = seen.join(telling, "term").groupBy("doc_id", "item_id").agg(F.count("*").alias("n")).where(F.col("n") >= sure).select("doc_id", "item_id")
+    enough = materialize(enough, "near-candidates")
+    documents = _hint(materialize(enough.select("doc_id").distinct(), "near-documents"), 40)
+    lists = index.postings().join(documents, "doc_id", "left_semi")
+    hits = lists.join(_hint(known.drop("telling"), 40), "term").join(_hint(enough, 40), ["doc_id", "item_id"], "left_semi")
+    ahead = Window.partitionBy("doc_id", "item_id").orderBy("pos").rangeBetween(0, window - 1)
+    counts = hits.select("doc_id", "item_id", "pos", F.size(F.collect_set("term").over(ahead)).alias("n")).where(F.col("n") >= least)
+    best = counts.groupBy("doc_id", "item_id").agg(F.max(F.struct("n", (-F.col("pos")).alias("back"))).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.n").alias("terms_met"), (-F.col("b.back")).cast("int").alias("doc_pos"))

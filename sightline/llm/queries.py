@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import canonical, canonmap, cooccurrence, leakage, packing, setjoin
+from sightline.llm import canonical, canonmap, cooccurrence, leakage, lookalikes, packing, setjoin
 from sightline.session import load, materialize, work_path
 
 
@@ -85,7 +86,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents where ten different words of an evaluation item lie within twelve words of the rarest word that any document has of a run of ten item words, in any order."""
+    """Documents where ten different words of an evaluation item lie within sixteen consecutive words, in any order."""
     index, items, item_terms = _leak_index(spark, sf_dir)
     return leakage.proximity_matches(index, items, item_terms=item_terms)
 
@@ -116,6 +117,44 @@ ORACLES: dict[str, str] = {
 }
 
 
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _folds() -> tuple[str, str, str]:
+    """For the SQL side: letters and signs of another width or script, what they are read as, and the pattern of what is never seen."""
+    pairs = {c: r for c, r in lookalikes._SEEN.items() if len(r) == 1 and ord(c) < 0xFFFF and unicodedata.category(c) != "Cn"} | lookalikes._FOLD
+    # letters with an accent of their own, over a letter that has a look-alike
+    for c in map(chr, range(0x370, 0x530)):
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) == 2 and parts[0] in lookalikes._FOLD and len(whole := unicodedata.normalize("NFC", lookalikes._FOLD[parts[0]] + parts[1])) == 1:
+            pairs[c] = whole
+    invisible = "[" + "".join("-".join(f"\\x{{{end}}}" for end in span.split("-")) for span in lookalikes.INVISIBLE.split()) + "]"
+    return "".join(pairs), "".join(pairs.values()), invisible
+
+
+def _plain(text: str) -> str:
+    """A text's skeleton in SQL, as far as single characters and the usual ligatures go."""
+    source, target, invisible = _folds()
+    joined = f"regexp_replace({text}, '{invisible}', '', 'g')"
+    for c in "ﬁﬂﬀﬃﬄ":
+        joined = f"replace({joined}, '{c}', '{unicodedata.normalize('NFKC', c)}')"
+    return f"nfc_normalize(translate({joined}, {_literal(source)}, {_literal(target)}))"
+
+
+_WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}\p{{M}}]+')"
+ORACLES |= {
+    "p3_found": rf"""WITH p AS (SELECT prompt_id, {"lower(nfc_normalize(translate(min(prompt), " + _literal("".join(chr(0xFF01 + i) for i in range(94))) + ", " + _literal("".join(chr(0x21 + i) for i in range(94))) + ")))"} AS t FROM answer_observations WHERE prompt_id IS NOT NULL GROUP BY 1),
+        w AS MATERIALIZED (SELECT prompt_id, list_sort(list_distinct(regexp_extract_all(t, '[\p{{L}}\p{{N}}]{{2,}}'))) AS s FROM p WHERE t IS NOT NULL), x AS (SELECT prompt_id, len(s) AS n, unnest(s) AS term FROM w WHERE len(s) > 0),
+        c AS (SELECT a.prompt_id AS prompt_id_a, b.prompt_id AS prompt_id_b, any_value(a.n) + any_value(b.n) - count(*) AS u, count(*) AS o FROM x a JOIN x b ON a.term = b.term AND a.prompt_id < b.prompt_id GROUP BY 1, 2) SELECT prompt_id_a, prompt_id_b FROM c WHERE o * 10 >= u * 7""",
+    "p9_found": f"""WITH d AS MATERIALIZED (SELECT doc_id, {_WORDS.format(_plain("text"))} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_WORDS.format(_plain("text"))} AS w FROM eval_items WHERE text IS NOT NULL),
+        g AS MATERIALIZED (SELECT DISTINCT item_id, hash(w[k:k + 11]) AS h FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i WHERE len(w) >= 12)), e AS (SELECT doc_id, hash(w[k:k + 11]) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d WHERE len(w) >= 12)) SELECT DISTINCT doc_id, item_id FROM e JOIN g USING (h)""",
+    "p10_found": f"""WITH d AS MATERIALIZED (SELECT doc_id, text, md5({_plain("text")}) AS f FROM documents WHERE text IS NOT NULL) SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM d a JOIN d b ON a.f = b.f AND a.doc_id < b.doc_id AND a.text <> b.text""",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return QUERIES
 

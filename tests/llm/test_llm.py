@@ -262,6 +262,29 @@ def test_proximity_passes_over_unseen_words(spark):
     assert [(r.doc_id, r.item_id, r.terms_met) for r in got] == [(1, 7, 10)]
 
 
+def test_proximity_finds_every_place(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(40)] + ["the", "of"] * 6
+    items = {k: " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(4, 25))) for k in range(15)} | {70: None, 71: ""}
+    docs = {k: " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(0, 150))) for k in range(40)} | {80: None, 81: "the " * 2000}
+    for k in range(8):
+        mixed = items[k].split()
+        rng.shuffle(mixed)
+        docs[100 + k] = "a b " + " ".join(mixed[:-1]) + " c"
+    index = leakage.PositionalIndex(spark, work_path(spark, "test-index"))
+    index.add(spark.createDataFrame(list(docs.items()), "doc_id BIGINT, text STRING"))
+    got = leakage.proximity_matches(index, spark.createDataFrame(list(items.items()), "item_id BIGINT, text STRING"), 9, 5, 2).collect()
+    want = {}
+    for d, t in docs.items():
+        w = lookalikes.words(t or "")
+        for i, text in items.items():
+            own = set(lookalikes.words(text or ""))
+            best = max(((len(own & set(w[p : p + 9])), -p) for p in range(len(w)) if w[p] in own), default=(0, 0))
+            if best[0] >= 5:
+                want[d, i] = (best[0], -best[1])
+    assert {(r.doc_id, r.item_id): (r.terms_met, r.doc_pos) for r in got} == want and len(want) > 8
+
+
 # look-alikes
 
 
