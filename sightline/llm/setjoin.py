@@ -49,29 +49,43 @@ def enumeration_cost(s: int, small: int, num: int, den: int) -> int:
     return sum(comb(s, overlap_needed(s, t, num, den)) for t in range(1, small + 1) if overlap_needed(s, t, num, den) <= min(s, t))
 
 
+def size_boundary(sizes: dict[int, int], num: int, den: int, per_token: int = 8, most: int = 16) -> int:
+    """The largest size of small sets whose subsets stay within `per_token` for each token of all sets; `sizes` counts sets by size.
+
+    Subsets cost more than they save beyond that; any boundary gives the same pairs.
+    """
+    budget = per_token * sum(s * n for s, n in sizes.items())
+    fits = [b for b in range(most + 1) if sum(n * enumeration_cost(s, b, num, den) for s, n in sizes.items() if s <= b) <= budget]
+    return max(fits, default=0)
+
+
 def _ranked(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(classes, members): distinct sets with their tokens as hashes, rarest first, and the class of each record."""
     hashed = F.array_sort(F.array_distinct(F.transform(F.array_compact("tokens"), lambda t: F.xxhash64(t))))
-    rows = sets.where("id IS NOT NULL").select("id", hashed.alias("h")).where(F.size("h") > 0)
-    rows = materialize(rows.groupBy("h").agg(F.min("id").alias("rep"), F.collect_set("id").alias("ids")), "sets")
-    members = rows.select("rep", F.explode("ids").alias("id"))
-    tokens = rows.select("rep", F.explode("h").alias("token"))
+    rows = materialize(sets.where("id IS NOT NULL").select("id", hashed.alias("h")).where(F.size("h") > 0).distinct(), "sets")
+    reps = materialize(rows.groupBy("h").agg(F.min("id").alias("rep")), "set-classes")
+    # records join their class, so that one set's records are never gathered in a row
+    members = rows.join(reps, "h").select("rep", "id")
+    tokens = reps.select("rep", F.explode("h").alias("token"))
     df = tokens.groupBy("token").agg(F.count("*").alias("df"))
     ranked = tokens.join(df, "token").groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("tokens"))
     return materialize(ranked.withColumn("size", F.size("tokens")), "ranked-sets"), members
 
 
-def similar_classes(sets: DataFrame, numerator: int = 7, denominator: int = 10, small: int = 8) -> tuple[DataFrame, DataFrame]:
+def similar_classes(sets: DataFrame, numerator: int = 7, denominator: int = 10, small: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Pairs of different sets with Jaccard similarity of numerator / denominator or more, and the class of each record.
 
     `sets` has id and tokens (ARRAY<STRING>). Returns (pairs, members): members (rep, id) name each record's class of
     equal sets by its least id; pairs (rep_a, rep_b, overlap, similarity), rep_a < rep_b, hold each pair of classes once.
     Records with a null id, or a null or empty set, are similar to none; null tokens are dropped, repeated ones count once.
     Sets of at most `small` tokens pair by shared token subsets of the size such a pair must share; pairs with a larger set
-    come from the inverted lists of the rarest tokens of each set, as many as a similar set must meet. No cap applies.
+    come from the inverted lists of the rarest tokens of each set, as many as a similar set must meet. No cap applies. Without
+    `small` the boundary is taken from the sizes of all sets, see size_boundary.
     """
     num, den = numerator, denominator
     ranked, members = _ranked(sets)
+    if small is None:
+        small = size_boundary({r["size"]: r["count"] for r in ranked.groupBy("size").count().collect()}, num, den)
 
     @F.pandas_udf("array<struct<lo:int,hi:int,subset:bigint>>")
     def subsets(sets: pd.Series) -> pd.Series:
