@@ -15,6 +15,8 @@ from sightline.session import materialize
 #: Fixed value: the split pattern of the byte-level vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Largest vocabulary file that is sent along with a function.
+MOST_VOCABULARY = 16 << 20
 #: Context sizes in tokens; the last is the sequence length that longer texts are cut to.
 TIERS = (1024, 4096, 16384)
 #: Items of one shard; a shard is packed by one task.
@@ -22,14 +24,20 @@ SHARD_ITEMS = 20_000
 
 
 def token_counter(vocabulary: str = VOCABULARY):
-    """Arrow function: the number of tokens of each text under a byte-level vocabulary file; null for null."""
+    """Arrow function: the number of tokens of each text under a byte-level vocabulary file; null for null.
+
+    The file is read where the query is planned and goes to the executors with the function, about a megabyte, so they need no copy of it.
+    """
+    with open(vocabulary, "rb") as f:
+        content = f.read()
+    if len(content) > MOST_VOCABULARY:
+        raise ValueError(f"a vocabulary of more than {MOST_VOCABULARY} bytes is no tokenizer's")
 
     @F.pandas_udf("bigint")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import tiktoken
 
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
         encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
             yield batch.map(lambda t: len(encoding.encode_ordinary(t)) if isinstance(t, str) else None).astype("Int64")
