@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions import stats
 from sightline.functions.normalize import host, label, owned, page_url, path_family
-from sightline.operators import evolution, graph, panel
+from sightline.operators import evolution, graph, panel, resampling
 from sightline.operators.requests import latest_requests
 from sightline.plans.exports import _CTE as _EXPORTS
 from sightline.plans.exports import _HOST as _XHOST
@@ -358,3 +358,35 @@ ORACLES = {
     "k6_citation_rates": _CTE + ", g AS (SELECT provider, count(*) FILTER (period = 'before') n0, count(*) FILTER (period = 'before' AND len(cited_urls) > 0) x0, count(*) FILTER (period = 'after') n1, count(*) FILTER (period = 'after' AND len(cited_urls) > 0) x1 FROM o WHERE provider IS NOT NULL GROUP BY 1)"
     + f", w AS (SELECT *, {_lo('x0', 'n0')} AS l0, {_hi('x0', 'n0')} AS h0, {_lo('x1', 'n1')} AS l1, {_hi('x1', 'n1')} AS h1 FROM g) SELECT provider, n0, x0, n1, x1, round(l0, 9) before_lower, round(h0, 9) before_upper, round(l1, 9) after_lower, round(h1, 9) after_upper, round(x1 / n1 - x0 / n0 - sqrt((x1 / n1 - l1) ^ 2 + (h0 - x0 / n0) ^ 2), 9) change_lower, round(x1 / n1 - x0 / n0 + sqrt((h1 - x1 / n1) ^ 2 + (x0 / n0 - l0) ^ 2), 9) change_upper FROM w",
 }
+
+
+def k9_concentration_intervals(spark, sf_dir):
+    """Herfindahl index of each provider's domains with its bootstrap interval over prompts."""
+    return _rounded(resampling.bootstrap_concentration(_citations(spark, sf_dir), "provider", "prompt_id", "domain"), "value", "lower", "upper")
+
+
+def k9_concentration_changes(spark, sf_dir):
+    """Change of that index between the periods over prompts of both, with the interval of paired resamples."""
+    return _rounded(resampling.bootstrap_concentration(_citations(spark, sf_dir), "provider", "prompt_id", "domain", "period"), "value", "lower", "upper")
+
+
+def k10_share_intervals(spark, sf_dir):
+    """Mean change of each domain's share over matched prompt groups, with the interval that counts groups without it as 0."""
+    rows = _citations(spark, sf_dir).where("provider IS NOT NULL")
+    unit = F.concat_ws("|", "panel_id", "provider", "prompt_id")
+    shares = panel.shares(rows.withColumn("unit", unit), ["unit", "period"], "domain")
+    both = materialize(shares.groupBy("unit").agg(F.countDistinct("period").alias("k")).where("k = 2").select("unit"), "matched-units")
+    sign = F.when(F.col("period") == "after", F.col("share")).otherwise(-F.col("share"))
+    changes = shares.join(both, "unit").groupBy("domain", "unit").agg(F.sum(sign).alias("change"))
+    return _rounded(resampling.bootstrap_sparse(changes, "domain", "unit", "change", both.count()), "mean", "lower", "upper")
+
+
+def k11_association_intervals(spark, sf_dir):
+    """Difference of citations between long and short answers within provider and month, with the interval over strata."""
+    obs = _observations(spark, sf_dir).where("provider IS NOT NULL AND answer_text IS NOT NULL").withColumn("cited", F.greatest(F.coalesce(F.size("cited_urls"), F.lit(0)), F.lit(0)))
+    long = F.length("answer_text") >= 200
+    strata = obs.groupBy("provider", "month").agg(F.avg(F.when(long, F.col("cited"))).alias("a"), F.avg(F.when(~long, F.col("cited"))).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    return _rounded(resampling.bootstrap_strata(strata.withColumn("d", F.col("a") - F.col("b")), "provider", "month", "d"), "mean", "lower", "upper")
+
+
+QUERIES |= {f.__name__: f for f in (k9_concentration_intervals, k9_concentration_changes, k10_share_intervals, k11_association_intervals)}

@@ -10,7 +10,7 @@ from sightline.functions.normalize import host, owned
 from sightline.operators import graph, panel, resampling, tables, textsim
 from sightline.operators.ordered import last_before
 from sightline.plans.exports import _TFIDF, _similar
-from sightline.plans.panel import _CTE, OWNED, _citations, _observations, _rounded
+from sightline.plans.panel import _CTE, _P_SIGN, OWNED, _citations, _observations, _rounded
 from sightline.session import load, materialize
 from sightline.sources import files
 from sightline.streaming import activity
@@ -172,3 +172,11 @@ ORACLES = {
         b AS (SELECT d.*, coalesce(CAST(least(floor((day - lo) / nullif(hi - lo, 0) * 20), 19) AS BIGINT), 0) AS bucket FROM d JOIN e USING (provider)), r AS (SELECT *, row_number() OVER (PARTITION BY provider, bucket ORDER BY captures, day) lo_k, row_number() OVER (PARTITION BY provider, bucket ORDER BY captures DESC, day) hi_k FROM b)
         SELECT provider, bucket, CAST(day AS INTEGER) AS day, captures FROM r WHERE lo_k = 1 OR hi_k = 1""",
 }
+_WILSON = "({x} / {n} + 3.8414588206941236 / (2 * {n})) / (1 + 3.8414588206941236 / {n}) {s} 1.959963984540054 * sqrt({x} / {n} * (1 - {x} / {n}) / {n} + 3.8414588206941236 / (4 * {n} * {n})) / (1 + 3.8414588206941236 / {n})"
+ORACLES["g9_edge_comparison"] = _CTE + f""", r AS (SELECT DISTINCT provider, prompt_id, domain FROM c WHERE provider IS NOT NULL), pr AS (SELECT DISTINCT provider, prompt_id FROM r), e AS (SELECT a.provider, a.prompt_id, a.domain || '|' || b.domain AS edge FROM r a JOIN r b ON a.provider = b.provider AND a.prompt_id = b.prompt_id AND a.domain < b.domain),
+    bo AS (SELECT a.provider AS side_a, b.provider AS side_b, a.prompt_id FROM pr a JOIN pr b ON a.prompt_id = b.prompt_id AND a.provider < b.provider), nn AS (SELECT side_a, side_b, count(*) prompts FROM bo GROUP BY 1, 2),
+    ce AS (SELECT side_a, side_b, prompt_id, edge, max(a) a, max(b) b FROM (SELECT side_a, side_b, bo.prompt_id, edge, 1 AS a, 0 AS b FROM bo JOIN e ON e.provider = side_a AND e.prompt_id = bo.prompt_id UNION ALL SELECT side_a, side_b, bo.prompt_id, edge, 0, 1 FROM bo JOIN e ON e.provider = side_b AND e.prompt_id = bo.prompt_id) GROUP BY 1, 2, 3, 4),
+    g AS (SELECT side_a, side_b, edge, CAST(sum(a) AS BIGINT) prompts_a, CAST(sum(b) AS BIGINT) prompts_b, count(*) FILTER (a = 1 AND b = 0) only_a, count(*) FILTER (a = 0 AND b = 1) only_b FROM ce GROUP BY 1, 2, 3),
+    q AS (SELECT *, {_P_SIGN.format(g='only_a', l='only_b')} AS p FROM g JOIN nn USING (side_a, side_b)), s AS (SELECT *, least(1, p * (count(*) OVER (PARTITION BY side_a, side_b) - row_number() OVER w + 1)) AS step FROM q WINDOW w AS (PARTITION BY side_a, side_b ORDER BY round(p, 12), edge)),
+    i AS (SELECT *, max(step) OVER (PARTITION BY side_a, side_b ORDER BY round(p, 12), edge ROWS UNBOUNDED PRECEDING) AS holm, greatest(0, {_WILSON.format(x='prompts_a', n='prompts', s='-')}) la, least(1, {_WILSON.format(x='prompts_a', n='prompts', s='+')}) ha, greatest(0, {_WILSON.format(x='prompts_b', n='prompts', s='-')}) lb, least(1, {_WILSON.format(x='prompts_b', n='prompts', s='+')}) hb FROM s)
+    SELECT side_a, side_b, edge, prompts_a, prompts_b, only_a, only_b, prompts, round(p, 9) AS p, round(holm, 9) AS holm_p, round((prompts_a - prompts_b) / prompts - sqrt((prompts_a / prompts - la) ^ 2 + (hb - prompts_b / prompts) ^ 2), 9) AS lower, round((prompts_a - prompts_b) / prompts + sqrt((ha - prompts_a / prompts) ^ 2 + (prompts_b / prompts - lb) ^ 2), 9) AS upper FROM i"""

@@ -267,3 +267,7 @@ ORACLES["g3_components"] = (
     + f""", e AS (SELECT panel_id || '|' || left_item a, panel_id || '|' || right_item b FROM ({_EDGES.format(g="panel_id", w="")}) WHERE "both" >= 3), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
     reach AS (SELECT a, a AS b FROM s UNION SELECT reach.a, s.b FROM reach JOIN s ON s.a = reach.b) SELECT a AS node, min(b) AS component FROM reach GROUP BY 1"""
 )
+ORACLES["a32_repeatability"] = _CTE + f""", hl AS (SELECT observation_id, list(domain ORDER BY rank) AS l FROM c GROUP BY 1), a AS (SELECT o.panel_id, o.provider, o.prompt_id, o.received_at, coalesce(l, []) AS l, count(*) OVER (PARTITION BY o.panel_id, o.provider, o.prompt_id, o.received_at) AS n FROM o LEFT JOIN hl USING (observation_id) WHERE o.provider IS NOT NULL AND o.received_at IS NOT NULL),
+    s AS (SELECT *, lag(l) OVER w AS pl, lag(n) OVER w AS pn FROM a WINDOW w AS (PARTITION BY panel_id, provider, prompt_id ORDER BY received_at)), p AS (SELECT *, greatest(len(l), len(pl)) AS k FROM s WHERE n = 1 AND pn = 1 AND len(l) > 0 AND len(pl) > 0),
+    j AS (SELECT provider, len(list_intersect(pl, l)) / len(list_distinct(list_concat(pl, l))) AS jaccard, len(list_intersect(pl[1:3], l[1:3])) / len(list_distinct(list_concat(pl[1:3], l[1:3]))) AS top_jaccard, list_sum(list_transform(range(1, k + 1), lambda d: 0.9 ^ (d - 1) * len(list_intersect(pl[1:d], l[1:d])) / d)) / ((1 - 0.9 ^ k) / 0.1) AS rank_overlap FROM p)
+    SELECT provider, count(*) steps, round(avg(jaccard), 9) jaccard, round(avg(top_jaccard), 9) top_jaccard, round(avg(rank_overlap), 9) rank_overlap FROM j GROUP BY 1"""

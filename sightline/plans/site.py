@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.operators import pages, site
+from sightline.operators import crawl, pages, robots, site
 from sightline.operators.tables import full_outer
 from sightline.session import load
 
@@ -172,3 +172,24 @@ ORACLES = {
     "p12_signal_changes": _SIG + "SELECT source, signal, nullif(pb, 0) AS pages_before, CASE WHEN pb > 0 THEN wb END AS with_signal_before, nullif(pa, 0) AS pages_after, CASE WHEN pa > 0 THEN wa END AS with_signal_after, CASE WHEN pa = 0 THEN 'left-only' WHEN pb = 0 THEN 'right-only' WHEN wa * pb > wb * pa THEN 'rose' WHEN wa * pb < wb * pa THEN 'fell' ELSE 'same' END AS change FROM c",
     "g_signal_gate": _SIG + "SELECT count(*) FILTER (pb >= 5 AND pa >= 5) compared, count(*) FILTER (pb >= 5 AND pa >= 5 AND 5 * (wb * pa - wa * pb) > pb * pa) violations, count(*) FILTER (pb >= 5 AND pa >= 5) > 0 AS complete, count(*) FILTER (pb >= 5 AND pa >= 5) > 0 AND count(*) FILTER (pb >= 5 AND pa >= 5 AND 5 * (wb * pa - wa * pb) > pb * pa) = 0 AS passed FROM c",
 }
+
+
+def s6_link_frontier(spark, sf_dir):
+    """Pages found from the page of the greatest id by following links of the pages, by depth."""
+    links = _heads(spark, sf_dir).select(F.col("url").alias("source"), F.explode("links").alias("target"))
+    seed = load(spark, sf_dir, "documents").where("page_url IS NOT NULL").agg(F.max_by("page_url", "doc_id").alias("url"))
+    return crawl.reachable(links.where(~F.col("target").endswith("/about")), seed, depth=6).groupBy("depth").agg(F.count("*").alias("pages"), F.min("url").alias("first_url"))
+
+
+def s10_allowed_pages(spark, sf_dir):
+    """Documents whose address a robots file lets a crawler fetch."""
+    rules = robots.rule_table(spark, {"site": "User-agent: *\nDisallow: /guide\nDisallow: /*page/1\nAllow: /guide/2\n"})
+    return crawl.allowed_urls(load(spark, sf_dir, "documents").select("doc_id", "page_url"), "page_url", "anybot", rules)
+
+
+QUERIES |= {f.__name__: f for f in (s6_link_frontier, s10_allowed_pages)}
+_P = "regexp_replace(regexp_replace(page_url, '^https?://[^/?#]*', ''), '#.*$', '')"
+ORACLES |= {
+    "s6_link_frontier": _D.replace("WITH d AS", "WITH RECURSIVE d AS", 1) + ", f AS (SELECT arg_max(u, doc_id) AS url, 0 AS depth FROM d UNION SELECT lk.t, f.depth + 1 FROM f JOIN lk ON lk.s = f.url WHERE f.depth < 6), g AS (SELECT url, min(depth) AS depth FROM f GROUP BY 1) SELECT CAST(depth AS INTEGER) AS depth, count(*) pages, min(url) first_url FROM g GROUP BY 1",
+    "s10_allowed_pages": f"SELECT doc_id, page_url FROM documents WHERE page_url IS NOT NULL AND (CASE WHEN {_P} LIKE '/guide/2%' THEN NOT ({_P} LIKE '/%page/1%' AND length('/*page/1') > length('/guide/2')) WHEN {_P} LIKE '/guide%' THEN false ELSE {_P} NOT LIKE '/%page/1%' END)",
+}
