@@ -77,6 +77,25 @@ def wilson(successes: Column, n: Column) -> Column:
     return F.when(n > 0, F.struct(F.greatest(F.lit(0.0), centre - spread).alias("lower"), F.least(F.lit(1.0), centre + spread).alias("upper")))
 
 
+def wilson_size(share: float, half_width: float) -> int:
+    """The least number of observations for which Wilson's 95 % interval of an expected share is at most twice `half_width` wide."""
+    from math import sqrt
+
+    def wide(n: int) -> float:
+        z2 = Z95 * Z95
+        return 2 * Z95 * sqrt(share * (1 - share) / n + z2 / (4 * n * n)) / (1 + z2 / n)
+
+    if not 0 <= share <= 1 or not 0 < half_width < 0.5:
+        raise ValueError("a share from 0 to 1 and a half width between 0 and 0.5 are needed")
+    low, high = 0, 1
+    while wide(high) > 2 * half_width:
+        low, high = high, high * 2
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (low, middle) if wide(middle) <= 2 * half_width else (middle, high)
+    return high
+
+
 def newcombe(x1: Column, n1: Column, x2: Column, n2: Column) -> Column:
     """Newcombe's 95 % interval of the difference of two shares, the first less the second; null if either n is 0."""
     a, b, p1, p2 = wilson(x1, n1), wilson(x2, n2), x1 / n1, x2 / n2

@@ -49,7 +49,7 @@ def enumeration_cost(s: int, small: int, num: int, den: int) -> int:
     return sum(comb(s, overlap_needed(s, t, num, den)) for t in range(1, small + 1) if overlap_needed(s, t, num, den) <= min(s, t))
 
 
-def size_boundary(sizes: dict[int, int], num: int, den: int, per_token: int = 8, most: int = 16) -> int:
+def size_boundary(sizes: dict[int, int], num: int, den: int, per_token: int = 2, most: int = 16) -> int:
     """The largest size of small sets whose subsets stay within `per_token` for each token of all sets; `sizes` counts sets by size.
 
     Subsets cost more than they save beyond that; any boundary gives the same pairs.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,14 +110,38 @@ def _pagerank_joins(edges: DataFrame, group: list[str], left: str, right: str, w
     return ranks.select(*group, "item", F.col("r").alias("pagerank"))
 
 
-def components(edges: DataFrame, left: str, right: str) -> DataFrame:
+def _least_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, component) of all edges (u, v) of a task, by a union-find whose roots are the least members."""
+    parent: dict = {}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch["u"], batch["v"]):
+            parent.setdefault(u, u)
+            parent.setdefault(v, v)
+            a, b = root(u), root(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    yield pd.DataFrame({"node": list(parent), "component": [root(x) for x in parent]})
+
+
+def components(edges: DataFrame, left: str, right: str, task_edges: int = 500_000) -> DataFrame:
     """(node, component): connected components named by their least node; by alternating large-star and small-star steps.
 
     Each step links nodes to the least neighbour they know, so chains shrink fast and no component is gathered in a task.
-    Edges are written to the shared folder each round. Null ends are left out; an end joined to itself is a component.
+    Edges are written to the shared folder each round. Null ends are left out; an end joined to itself is a component. Up to
+    `task_edges` edges between texts or whole numbers, counted first, are joined in one task, which gives the same.
     """
     spark = edges.sparkSession
     clean = edges.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).distinct()
+    clean = materialize(clean, "edges")
+    kind = clean.schema["u"].dataType.simpleString()
+    if kind in ("string", "bigint", "int") and clean.limit(task_edges + 1).count() <= task_edges:
+        return clean.coalesce(1).mapInPandas(_least_members, f"node {kind}, component {kind}")
     nodes = clean.select(F.col("u").alias("node")).union(clean.select("v")).distinct()
     now, path, before = clean.where("u <> v"), None, None
     while True:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _RULES = "policy STRING, agent STRING, allow BOOLEAN, pattern STRING, regex STRING, specificity INT, line INT"
@@ -46,6 +46,11 @@ def rule_table(spark: SparkSession, policies: dict[str, str]) -> DataFrame:
     return spark.createDataFrame([r for name, text in policies.items() for r in parse_policy(text, name)], _RULES)
 
 
+def fetch_state(status: Column) -> Column:
+    """What a robots file's response means: `rules` (2xx, they hold), `redirect` (3xx, to be followed), `allow-all` (4xx), `deny-all` (anything else, null included)."""
+    return F.when(status.between(200, 299), "rules").when(status.isin(301, 302, 303, 307, 308), "redirect").when(status.between(400, 499), "allow-all").otherwise("deny-all")
+
+
 def replay(paths: DataFrame, tokens: DataFrame, rules: DataFrame) -> DataFrame:
     """(policy, token, path, allowed, pattern, line): what each policy says of each crawler's paths.
 

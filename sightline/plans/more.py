@@ -40,23 +40,12 @@ def g9_edge_comparison(spark, sf_dir):
     return _rounded(panel.holm_adjust(out, "p", "edge", ["side_a", "side_b"]), "p", "holm_p", "lower", "upper")
 
 
-def x5_threshold_sweep(spark, sf_dir):
-    """Families of similar prompts at the three thresholds of its SQL: members, families, largest."""
-    pairs = materialize(_similar(spark, sf_dir), "similar")
-    out = None
-    for t in (0.7, 0.8, 0.9):
-        sizes = graph.components(pairs.where(F.col("cosine") >= t), "a", "b").groupBy("component").agg(F.count("*").alias("n"))
-        row = sizes.agg(F.lit(t).alias("threshold"), F.coalesce(F.sum("n"), F.lit(0)).alias("members"), F.count("*").alias("families"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"))
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-#: The thresholds of the reference's sweep.
+#: The thresholds of the sweep.
 SWEEP = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]
 
 
 def x5_threshold_sweep_all(spark, sf_dir):
-    """x5_threshold_sweep at all thresholds of the reference, over every pair of a cosine from the least of them on."""
+    """Families of similar prompts at ten thresholds, over every pair of a cosine from the least of them on: members, families, largest."""
     levels = spark.createDataFrame([(t,) for t in SWEEP], "threshold DOUBLE")
     pairs = materialize(_similar(spark, sf_dir, least=SWEEP[0]), "similar")
     # one search for all thresholds: a node stands for a prompt at a threshold
@@ -151,7 +140,7 @@ def s_sessions(spark, sf_dir):
     return activity.sessions(rows, "site_host").groupBy("site_host").agg(F.count("*").alias("sessions"), F.max("requests").alias("longest"))
 
 
-QUERIES = {f.__name__: f for f in (g7_rank_weighted_edges, g9_edge_comparison, x5_threshold_sweep, x5_threshold_sweep_all, g10_bridging_prompts, p17_entity_mentions, a38_entity_comentions, p18_answer_lengths, a40_sampling_quotas, w9_capture_gaps, w7_downsampled_series, a30_owned_gap_pairs, k8_bootstrap_intervals, s5_sitemap_entries, s_stream_days, s_sessions)}
+QUERIES = {f.__name__: f for f in (g7_rank_weighted_edges, g9_edge_comparison, x5_threshold_sweep_all, g10_bridging_prompts, p17_entity_mentions, a38_entity_comentions, p18_answer_lengths, a40_sampling_quotas, w9_capture_gaps, w7_downsampled_series, a30_owned_gap_pairs, k8_bootstrap_intervals, s5_sitemap_entries, s_stream_days, s_sessions)}
 _ENTITY = ", ".join(f"{{'entity': '{n}', 'n': len(regexp_extract_all(' ' || lower(answer_text) || ' ', '[^\\p{{L}}\\p{{N}}_](?:{'|'.join(x.replace(' ', '\\s+') for x in sorted(a, key=lambda x: (-len(x), x)))})(?:$|[^\\p{{L}}\\p{{N}}_])'))}}" for n, a in ENTITIES.items())
 _KEYS = "panel_id, provider, prompt_id"
 ORACLES = {
@@ -165,9 +154,9 @@ ORACLES = {
     "s5_sitemap_entries": "SELECT source, page_url AS loc, strftime(published_at, '%Y-%m-%d') AS lastmod FROM documents WHERE page_url IS NOT NULL AND source IS NOT NULL AND published_at IS NOT NULL",
     "s_stream_days": "SELECT strftime(received_at, '%Y-%m-%d') AS day, CASE WHEN status BETWEEN 200 AND 299 THEN '2xx' WHEN status BETWEEN 300 AND 399 THEN '3xx' WHEN status BETWEEN 400 AND 499 THEN '4xx' WHEN status BETWEEN 500 AND 599 THEN '5xx' ELSE 'other' END AS status_class, count(*) requests FROM crawler_requests WHERE received_at IS NOT NULL GROUP BY 1, 2",
     "s_sessions": "WITH g AS (SELECT site_host, received_at, CASE WHEN received_at >= lag(received_at) OVER w + INTERVAL 30 MINUTE OR lag(received_at) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM crawler_requests WHERE site_host IS NOT NULL AND received_at IS NOT NULL WINDOW w AS (PARTITION BY site_host ORDER BY received_at)), s AS (SELECT site_host, sum(new) OVER (PARTITION BY site_host ORDER BY received_at ROWS UNBOUNDED PRECEDING) k FROM g), n AS (SELECT site_host, k, count(*) n FROM s GROUP BY 1, 2) SELECT site_host, count(*) sessions, max(n) longest FROM n GROUP BY 1",
-    "x5_threshold_sweep": _TFIDF.replace("WITH p AS", "WITH RECURSIVE p AS", 1) + """, h AS (SELECT CAST(unnest([0.7, 0.8, 0.9]) AS DOUBLE) AS t), z AS (SELECT t, a, b FROM s, h WHERE cosine >= t UNION ALL SELECT t, b, a FROM s, h WHERE cosine >= t),
+    "x5_threshold_sweep_all": _TFIDF.replace("WITH p AS", "WITH RECURSIVE p AS", 1).replace(">= 0.65", ">= 0.5") + f""", h AS (SELECT CAST(unnest({SWEEP}) AS DOUBLE) AS t), z AS MATERIALIZED (SELECT t, a, b FROM s, h WHERE cosine >= t UNION ALL SELECT t, b, a FROM s, h WHERE cosine >= t),
         q AS (SELECT t, a, a AS b FROM z UNION SELECT q.t, q.a, z.b FROM q JOIN z ON z.t = q.t AND z.a = q.b), m AS (SELECT t, a, min(b) c FROM q GROUP BY 1, 2), g AS (SELECT t, c, count(*) n FROM m GROUP BY 1, 2)
-        SELECT t AS threshold, CAST(sum(n) AS BIGINT) members, count(*) families, max(n) largest FROM g GROUP BY 1""",
+        SELECT h.t AS threshold, CAST(coalesce(sum(n), 0) AS BIGINT) members, count(c) families, coalesce(max(n), 0) largest FROM h LEFT JOIN g ON g.t = h.t GROUP BY 1""",
     "w7_downsampled_series": _CTE + """, d AS (SELECT provider, date_diff('day', DATE '2026-01-01', received_at::DATE) AS day, count(*) captures FROM o WHERE provider IS NOT NULL GROUP BY 1, 2), e AS (SELECT provider, min(day) lo, max(day) hi FROM d GROUP BY 1),
         b AS (SELECT d.*, coalesce(CAST(least(floor((day - lo) / nullif(hi - lo, 0) * 20), 19) AS BIGINT), 0) AS bucket FROM d JOIN e USING (provider)), r AS (SELECT *, row_number() OVER (PARTITION BY provider, bucket ORDER BY captures, day) lo_k, row_number() OVER (PARTITION BY provider, bucket ORDER BY captures DESC, day) hi_k FROM b)
         SELECT provider, bucket, CAST(day AS INTEGER) AS day, captures FROM r WHERE lo_k = 1 OR hi_k = 1""",

@@ -149,11 +149,6 @@ def g3_components_all(spark, sf_dir):
     return _panel_components(_panel_edges(spark, sf_dir))
 
 
-def g3_components(spark, sf_dir):
-    """Components of each panel's network over edges of three or more shared prompts, as in its SQL."""
-    return _panel_components(_panel_edges(spark, sf_dir).where("both >= 3"))
-
-
 def g4_communities(spark, sf_dir):
     """Communities of the domains of each panel over all its co-citation edges."""
     return graph.communities(_panel_edges(spark, sf_dir), ["panel_id"], "left_item", "right_item", "both")
@@ -199,7 +194,7 @@ _EDGES = """SELECT {g}, a.domain AS left_item, b.domain AS right_item, count(*)
 _JSD = "sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2"
 QUERIES = {
     f.__name__: f
-    for f in (a21_concentration, k12_leave_one_out, a24_provider_divergence, a26_portfolio_change, j21_paired_reach, g_reach_drop_gate, a35_first_owned, a36_retention, a32_repeatability, k14_rarefaction, a27_opportunities, a29_matched_association, w3_monthly_change, a8_pooled_slices, a37_source_categories, a39_mix_decomposition, a31_comparability, g1_cocitation, g2_centrality, g3_components, g3_components_all, g4_communities, g5_rand_index, g8_network_overlap)
+    for f in (a21_concentration, k12_leave_one_out, a24_provider_divergence, a26_portfolio_change, j21_paired_reach, g_reach_drop_gate, a35_first_owned, a36_retention, a32_repeatability, k14_rarefaction, a27_opportunities, a29_matched_association, w3_monthly_change, a8_pooled_slices, a37_source_categories, a39_mix_decomposition, a31_comparability, g1_cocitation, g2_centrality, g3_components_all, g4_communities, g5_rand_index, g8_network_overlap)
 }
 ORACLES = {
     "a21_concentration": _CTE + """, n AS (SELECT panel_id, domain, count(*) n, sum(1 / log2(rank + 1)) w FROM c GROUP BY 1, 2), k AS (SELECT panel_id, prompt_id, count(DISTINCT domain) k FROM c GROUP BY 1, 2)
@@ -262,10 +257,12 @@ ORACLES = {
         d AS (SELECT side_a, side_b, edge, sum(CASE WHEN provider = side_a THEN share ELSE 0 END) p, sum(CASE WHEN provider = side_b THEN share ELSE 0 END) q FROM pairs JOIN s ON provider IN (side_a, side_b) GROUP BY ALL)
         SELECT side_a, side_b, count(*) FILTER (p > 0 AND q > 0) AS shared, round(count(*) FILTER (p > 0 AND q > 0) / count(*), 9) jaccard, round(greatest(0, least(1, {_JSD})), 9) divergence FROM d GROUP BY 1, 2""",
 }
-ORACLES["g3_components"] = (
+# domains are contracted to their least neighbour first, which keeps the closure small
+ORACLES["g3_components_all"] = (
     _CTE.replace("WITH o AS", "WITH RECURSIVE o AS", 1)
-    + f""", e AS (SELECT panel_id || '|' || left_item a, panel_id || '|' || right_item b FROM ({_EDGES.format(g="panel_id", w="")}) WHERE "both" >= 3), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-    reach AS (SELECT a, a AS b FROM s UNION SELECT reach.a, s.b FROM reach JOIN s ON s.a = reach.b) SELECT a AS node, min(b) AS component FROM reach GROUP BY 1"""
+    + f""", e AS MATERIALIZED (SELECT panel_id || '|' || left_item a, panel_id || '|' || right_item b FROM ({_EDGES.format(g="panel_id", w="")})), s AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    sp AS MATERIALIZED (SELECT a, min(b) AS b FROM (SELECT a, b FROM s UNION SELECT a, a FROM s) GROUP BY 1), k AS MATERIALIZED (SELECT DISTINCT x.b AS a, y.b AS b FROM s JOIN sp x ON x.a = s.a JOIN sp y ON y.a = s.b), reach AS (SELECT a, b FROM k UNION SELECT reach.a, k.b FROM reach JOIN k ON k.a = reach.b)
+    SELECT sp.a AS node, least(min(reach.b), min(sp.b)) AS component FROM sp LEFT JOIN reach ON reach.a = sp.b GROUP BY 1"""
 )
 ORACLES["a32_repeatability"] = _CTE + f""", hl AS (SELECT observation_id, list(domain ORDER BY rank) AS l FROM c GROUP BY 1), a AS (SELECT o.panel_id, o.provider, o.prompt_id, o.received_at, coalesce(l, []) AS l, count(*) OVER (PARTITION BY o.panel_id, o.provider, o.prompt_id, o.received_at) AS n FROM o LEFT JOIN hl USING (observation_id) WHERE o.provider IS NOT NULL AND o.received_at IS NOT NULL),
     s AS (SELECT *, lag(l) OVER w AS pl, lag(n) OVER w AS pn FROM a WINDOW w AS (PARTITION BY panel_id, provider, prompt_id ORDER BY received_at)), p AS (SELECT *, greatest(len(l), len(pl)) AS k FROM s WHERE n = 1 AND pn = 1 AND len(l) > 0 AND len(pl) > 0),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sightline.plans import deep, exports, logdeep, logs, more, panel, problems, site
+from sightline.plans import deep, exports, logdeep, logs, more, panel, problems, site, survey
 
-_MODULES = [problems, logs, panel, exports, more, site, deep, logdeep]
+_MODULES = [problems, logs, panel, exports, more, site, deep, logdeep, survey]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -45,3 +45,15 @@ def run_complete(stream: DataFrame, label: str) -> DataFrame:
     if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(out)
+
+
+def run_appending(stream: DataFrame, label: str) -> DataFrame:
+    """Runs an aggregating stream in append mode over all data that is there, and returns the rows that its watermark closed.
+
+    State of closed windows is dropped as the stream goes on; windows that the watermark has not passed at the end are not in the result,
+    as they may still change.
+    """
+    spark, out = stream.sparkSession, work_path(stream.sparkSession, label)
+    query = stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{shared_dir(spark)}/sightline/{out.rpartition('/')[2]}-log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)

@@ -103,11 +103,12 @@ def test_comparisons(spark):
     assert tables.compare_metric(a.limit(0), b.limit(0), ["k"], "v").count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("task", [0, 500_000])
+def test_components(spark, task):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, 101), (102, 101), (200, 200), (None, 3), (5, None), (300, 301), (301, 300)]
-    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a BIGINT, b BIGINT"), "a", "b").collect()}
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a BIGINT, b BIGINT"), "a", "b", task).collect()}
     assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100, 102: 100, 200: 200, 300: 300, 301: 300}
-    assert graph.components(spark.createDataFrame([], "a BIGINT, b BIGINT"), "a", "b").count() == 0
+    assert graph.components(spark.createDataFrame([], "a BIGINT, b BIGINT"), "a", "b", task).count() == 0
 
 
 def test_ranks_agree_however_computed(spark):
@@ -143,7 +144,7 @@ def test_networks_hold_every_edge(spark, tmp_path):
     assert {r.item for r in queries["g2_centrality"](spark, data).collect()} == nodes
     assert {r.item for r in queries["g4_communities"](spark, data).collect()} == nodes
     assert {r.node: r.component for r in queries["g3_components_all"](spark, data).collect()} == {f"p|{n}": "p|a.test" if n[0] in "abuvw" else "p|c.test" for n in nodes}
-    for name in ("g1_cocitation_all", "g7_rank_weighted_edges_all"):
+    for name in ("g1_cocitation", "g7_rank_weighted_edges"):
         edges = {(r.left_item, r.right_item) for r in queries[name](spark, data).collect()}
         assert len(edges) == 11 and {("a.test", "b.test"), ("c.test", "d.test")} < edges
 
