@@ -96,13 +96,6 @@ def anchors(items: DataFrame, frequency: DataFrame, passage: int = PASSAGE) -> D
     return rare.select("item_id", F.col("r")[0]["pos"].alias("pos"), F.col("r")[0]["term"].alias("term"), others.alias("others")).distinct()
 
 
-def telling_terms(items: DataFrame, frequency: DataFrame, spare: int) -> DataFrame:
-    """(item_id, term, telling): the distinct words of each item that documents hold; telling are all but the `spare` most frequent."""
-    known = items.select("item_id", "term").distinct().join(frequency, "term")
-    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("df"), "term"))
-    return known.select("item_id", "term", (place > spare).alias("telling"))
-
-
 def exact_passages(index: PositionalIndex, item_texts: DataFrame, passage: int = PASSAGE, item_terms: DataFrame | None = None) -> DataFrame:
     """(doc_id, item_id, longest, doc_pos, item_pos): documents that hold `passage` or more consecutive words of an item.
 
@@ -135,27 +128,100 @@ def exact_passages(index: PositionalIndex, item_texts: DataFrame, passage: int =
     return best.select("doc_id", "item_id", F.col("b.n").alias("longest"), (-F.col("b.unshift") - F.col("b.back")).cast("int").alias("doc_pos"), (-F.col("b.back")).cast("int").alias("item_pos"))
 
 
-def proximity_matches(index: PositionalIndex, item_texts: DataFrame, window: int = 16, least: int = 10, sure: int = 4, item_terms: DataFrame | None = None) -> DataFrame:
+def _widest(pos: list[int], term: list[int], window: int) -> tuple[int, int]:
+    """(most different terms within `window` consecutive places, the first start of so many) of a list of hits in order."""
+    held: dict[int, int] = {}
+    best, at, lo = 0, -1, 0
+    for hi in range(len(pos)):
+        held[term[hi]] = held.get(term[hi], 0) + 1
+        while pos[hi] - pos[lo] >= window:
+            held[term[lo]] -= 1
+            if not held[term[lo]]:
+                del held[term[lo]]
+            lo += 1
+        if len(held) > best:
+            best, at = len(held), lo
+    # the window may start at a later hit and hold as many: its start is the first hit from which they are all met
+    while best and at < len(pos) and len({t for p, t in zip(pos[at:], term[at:]) if p - pos[at] < window}) < best:
+        at += 1
+    return best, pos[at] if best else -1
+
+
+def _near_items(items: list[tuple[int, int]], window: int, least: int):
+    """mapInArrow function: postings in order of documents to (doc_id, item_id, terms_met, doc_pos); `items` lists (term, item_id)."""
+    listed = np.array(sorted(items), dtype=np.int64).reshape(-1, 2)
+    known, first = np.unique(listed[:, 0], return_index=True)
+    starts, owners = np.append(first, len(listed)), listed[:, 1]
+
+    def search(doc: np.ndarray, pos: np.ndarray, term: np.ndarray) -> list[tuple[int, int, int, int]]:
+        at = np.searchsorted(known, term)
+        keep = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == term)
+        doc, pos, at = doc[keep], pos[keep], at[keep]
+        # each hit once for every item that has its word
+        n = starts[at + 1] - starts[at]
+        hit = np.repeat(np.arange(len(at)), n)
+        item = owners[np.repeat(starts[at], n) + np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n)]
+        order = np.lexsort((pos[hit], item, doc[hit]))
+        d, i, p, t = doc[hit][order], item[order], pos[hit][order], at[hit][order]
+        k = least - 1
+        close = np.flatnonzero((d[k:] == d[: len(d) - k]) & (i[k:] == i[: len(i) - k]) & (p[k:] - p[: len(p) - k] < window)) if len(d) > k else np.array([], int)
+        if not len(close):
+            return []
+        edge = np.flatnonzero((d[1:] != d[:-1]) | (i[1:] != i[:-1])) + 1
+        group = np.unique(np.searchsorted(edge, close, side="right"))
+        lo, hi = np.append(0, edge)[group], np.append(edge, len(d))[group]
+        found = ((int(d[a]), int(i[a]), *_widest(p[a:b].tolist(), t[a:b].tolist(), window)) for a, b in zip(lo, hi))
+        return [row for row in found if row[2] >= least]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None
+        for batch in batches:
+            part = [batch.column(k).to_numpy() for k in range(3)]
+            rest = part if rest is None else [np.concatenate(two) for two in zip(rest, part)]
+            while rest is not None and len(rest[0]) > _HITS:
+                # whole documents only: cut where a document ends, at or after so many hits
+                cut = int(np.searchsorted(rest[0], rest[0][_HITS], side="left")) or int(np.searchsorted(rest[0], rest[0][0], side="right"))
+                if cut >= len(rest[0]):
+                    break
+                yield _found_batch(search(*[x[:cut] for x in rest]))
+                rest = [x[cut:] for x in rest]
+        if rest is not None and len(rest[0]):
+            yield _found_batch(search(*rest))
+
+    return run
+
+
+#: Hits of whole documents that are looked at together.
+_HITS = 20_000
+#: Words of items that are sent to the executors at once; more items are looked for in blocks of so many.
+BLOCK_WORDS = 2_000_000
+
+
+def _found_batch(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * 4
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "terms_met", "doc_pos"])
+
+
+def proximity_matches(index: PositionalIndex, item_texts: DataFrame, window: int = 16, least: int = 10, item_terms: DataFrame | None = None) -> DataFrame:
     """(doc_id, item_id, terms_met, doc_pos): documents where `least` different words of an item lie within `window` consecutive words, in any order.
 
-    Finds passages with words inserted, left out, replaced or moved, which exact_passages cuts short, and finds all of them: of
-    `least` words at most `least - sure` can be among as many most frequent ones of the item, so a document must hold `sure` of its other,
-    telling words, whose postings are counted first; the lists of all words are read for the documents and items left, and slid over by the
-    window. One row a document and item: the most words met and the first place of so many. Items of fewer words have none.
+    Finds passages with words inserted, left out, replaced or moved, which exact_passages cuts short, and finds all of them. The lists of the
+    items' words are brought into the order of documents and places; each place counts for every item that has its word, and where `least`
+    places of an item lie close together the window slides over the item's places in that document. One row a document and item: the
+    most words met and the first place of so many. Items of fewer words have none. Items are sent out in blocks of
+    BLOCK_WORDS words, each of which passes over the lists once.
     """
     item_terms = materialize(terms(item_texts, "item_id", "text", "item_id"), "item-terms") if item_terms is None else item_terms
-    wanted = _hint(materialize(item_terms.select("term").distinct(), "wanted"), 40)
-    frequency = index.postings().join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    known = materialize(telling_terms(item_terms, frequency, least - sure), "telling-terms")
-    telling = _hint(known.where("telling").drop("telling"), 40)
-    # each word once a document, before it meets the items that have it
-    seen = index.postings().select("doc_id", "term").join(_hint(known.where("telling").select("term").distinct(), 24), "term", "left_semi").distinct()
-    enough = seen.join(telling, "term").groupBy("doc_id", "item_id").agg(F.count("*").alias("n")).where(F.col("n") >= sure).select("doc_id", "item_id")
-    enough = materialize(enough, "near-candidates")
-    documents = _hint(materialize(enough.select("doc_id").distinct(), "near-documents"), 40)
-    lists = index.postings().join(documents, "doc_id", "left_semi")
-    hits = lists.join(_hint(known.drop("telling"), 40), "term").join(_hint(enough, 40), ["doc_id", "item_id"], "left_semi")
-    ahead = Window.partitionBy("doc_id", "item_id").orderBy("pos").rangeBetween(0, window - 1)
-    counts = hits.select("doc_id", "item_id", "pos", F.size(F.collect_set("term").over(ahead)).alias("n")).where(F.col("n") >= least)
-    best = counts.groupBy("doc_id", "item_id").agg(F.max(F.struct("n", (-F.col("pos")).alias("back"))).alias("b"))
-    return best.select("doc_id", "item_id", F.col("b.n").alias("terms_met"), (-F.col("b.back")).cast("int").alias("doc_pos"))
+    pairs = materialize(item_terms.select("term", "item_id").distinct(), "item-words")
+    wanted = _hint(materialize(pairs.select("term").distinct(), "wanted"), 40)
+    lists = index.postings().join(wanted, "term", "left_semi").select("doc_id", "pos", "term").repartition("doc_id").sortWithinPartitions("doc_id", "pos")
+    blocks = max(1, -(-pairs.count() // BLOCK_WORDS))
+    if blocks > 1:
+        lists = materialize(lists, "document-lists").repartition("doc_id").sortWithinPartitions("doc_id", "pos")
+    out = None
+    for k in range(blocks):
+        own = pairs.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
+        part = lists.mapInArrow(_near_items([(r.term, r.item_id) for r in own], window, least), "doc_id BIGINT, item_id BIGINT, terms_met INT, doc_pos INT") if own else None
+        out = part if out is None else out if part is None else out.unionByName(part)
+    return index.spark.createDataFrame([], "doc_id BIGINT, item_id BIGINT, terms_met INT, doc_pos INT") if out is None else out

@@ -262,7 +262,10 @@ def test_proximity_passes_over_unseen_words(spark):
     assert [(r.doc_id, r.item_id, r.terms_met) for r in got] == [(1, 7, 10)]
 
 
-def test_proximity_finds_every_place(spark):
+@pytest.mark.parametrize("hits, words", [(20_000, 2_000_000), (7, 60)])
+def test_proximity_finds_every_place(spark, monkeypatch, hits, words):
+    monkeypatch.setattr(leakage, "_HITS", hits)
+    monkeypatch.setattr(leakage, "BLOCK_WORDS", words)
     rng = random.Random(8)
     vocabulary = [f"w{k}" for k in range(40)] + ["the", "of"] * 6
     items = {k: " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(4, 25))) for k in range(15)} | {70: None, 71: ""}
@@ -273,7 +276,7 @@ def test_proximity_finds_every_place(spark):
         docs[100 + k] = "a b " + " ".join(mixed[:-1]) + " c"
     index = leakage.PositionalIndex(spark, work_path(spark, "test-index"))
     index.add(spark.createDataFrame(list(docs.items()), "doc_id BIGINT, text STRING"))
-    got = leakage.proximity_matches(index, spark.createDataFrame(list(items.items()), "item_id BIGINT, text STRING"), 9, 5, 2).collect()
+    got = leakage.proximity_matches(index, spark.createDataFrame(list(items.items()), "item_id BIGINT, text STRING"), 9, 5).collect()
     want = {}
     for d, t in docs.items():
         w = lookalikes.words(t or "")
