@@ -131,20 +131,17 @@ def exact_passages(index: PositionalIndex, item_texts: DataFrame, passage: int =
 def _widest(pos: list[int], term: list[int], window: int) -> tuple[int, int]:
     """(most different terms within `window` consecutive places, the first start of so many) of a list of hits in order."""
     held: dict[int, int] = {}
-    best, at, lo = 0, -1, 0
-    for hi in range(len(pos)):
-        held[term[hi]] = held.get(term[hi], 0) + 1
-        while pos[hi] - pos[lo] >= window:
-            held[term[lo]] -= 1
-            if not held[term[lo]]:
-                del held[term[lo]]
-            lo += 1
+    best, at, end = 0, -1, 0
+    for start, term_out in enumerate(term):
+        while end < len(pos) and pos[end] - pos[start] < window:
+            held[term[end]] = held.get(term[end], 0) + 1
+            end += 1
         if len(held) > best:
-            best, at = len(held), lo
-    # the window may start at a later hit and hold as many: its start is the first hit from which they are all met
-    while best and at < len(pos) and len({t for p, t in zip(pos[at:], term[at:]) if p - pos[at] < window}) < best:
-        at += 1
-    return best, pos[at] if best else -1
+            best, at = len(held), pos[start]
+        held[term_out] -= 1
+        if not held[term_out]:
+            del held[term_out]
+    return best, at
 
 
 def _near_items(items: list[tuple[int, int]], window: int, least: int):
@@ -167,11 +164,18 @@ def _near_items(items: list[tuple[int, int]], window: int, least: int):
         close = np.flatnonzero((d[k:] == d[: len(d) - k]) & (i[k:] == i[: len(i) - k]) & (p[k:] - p[: len(p) - k] < window)) if len(d) > k else np.array([], int)
         if not len(close):
             return []
-        edge = np.flatnonzero((d[1:] != d[:-1]) | (i[1:] != i[:-1])) + 1
-        group = np.unique(np.searchsorted(edge, close, side="right"))
-        lo, hi = np.append(0, edge)[group], np.append(edge, len(d))[group]
-        found = ((int(d[a]), int(i[a]), *_widest(p[a:b].tolist(), t[a:b].tolist(), window)) for a, b in zip(lo, hi))
-        return [row for row in found if row[2] >= least]
+        # stretches of hits in which windows of enough hits overlap; only these are slid over
+        apart = np.flatnonzero((close[1:] > close[:-1] + k) | (d[close[1:]] != d[close[:-1]]) | (i[close[1:]] != i[close[:-1]])) + 1
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        for a, b in zip(close[np.append(0, apart)].tolist(), (close[np.append(apart, len(close)) - 1] + k + 1).tolist()):
+            # later hits may still lie in the last window
+            while b < len(d) and d[b] == d[a] and i[b] == i[a] and p[b] - p[b - 1] < window:
+                b += 1
+            n, at = _widest(p[a:b].tolist(), t[a:b].tolist(), window)
+            if n >= least:
+                key = (int(d[a]), int(i[a]))
+                best[key] = max(best.get(key, (n, -at)), (n, -at))
+        return [(*key, n, -back) for key, (n, back) in best.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
