@@ -188,12 +188,14 @@ def _label_nodes(edges: pd.DataFrame, iterations: int, tie: float) -> dict[str,
     return labels
 
 
-def communities(edges: DataFrame, group: list[str], left: str, right: str, weight: str, iterations: int = 50, tie: float = 1e-12, most_edges: int = 1_000_000) -> DataFrame:
+def communities(edges: DataFrame, group: list[str], left: str, right: str, weight: str, iterations: int = 50, tie: float = 1e-12, most_edges: int = 1_000_000, nodes: DataFrame | None = None) -> DataFrame:
     """(group, item, community, modularity): weighted label propagation, nodes visited in order, each seeing the labels set before it.
 
     The visiting order is part of the definition, so a group is labelled by one task; groups are report-sized networks,
-    and a group of more than `most_edges` edges is refused, not cut. The community is the label, modularity the group's.
+    and a group of more than `most_edges` edges is refused, not cut. The community is the label, modularity the group's. Of `nodes`
+    (group, item), if given, those without an edge are communities of their own.
     """
+    edges = materialize(edges.select(*group, left, right, weight), "community-edges")
     sized = edges.groupBy(*group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     if sized > most_edges:
         raise ValueError(f"a group has {sized} edges; label propagation takes up to {most_edges}")
@@ -217,7 +219,13 @@ def communities(edges: DataFrame, group: list[str], left: str, right: str, weigh
         return out[[*group, "item", "community", "modularity"]]
 
     plain = edges.select(*group, F.col(left).alias("a"), F.col(right).alias("b"), F.col(weight).cast("double").alias("w"))
-    return plain.groupBy(*group).applyInPandas(run, schema)
+    found = plain.groupBy(*group).applyInPandas(run, schema)
+    if nodes is None:
+        return found
+    labelled = materialize(found, "communities")
+    alone = nodes.select(*group, "item").where("item IS NOT NULL").distinct().join(labelled, [*group, "item"], "left_anti")
+    values = labelled.groupBy(*group).agg(F.max("modularity").alias("modularity"))
+    return labelled.unionByName(alone.join(values, group, "left").select(*group, "item", F.col("item").alias("community"), "modularity"))
 
 
 def _cut_nodes(pairs: list[tuple[str, str]]) -> set[str]:

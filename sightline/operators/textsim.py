@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sightline.session import materialize, small
+
 from sightline.functions.normalize import running_words, shingles
 from sightline.operators.graph import components
 
@@ -58,6 +60,30 @@ def shingle_coverage(pairs: DataFrame, source: str, copy: str, size: int = 5) ->
     return out.withColumn("coverage", F.when(F.col("shingles") > 0, F.col("shared") / F.col("shingles"))).drop("_s", "_c")
 
 
+def mention_rows(texts: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
+    """(key, entity, n): how often each text mentions each entity by one of its aliases, as whole words, without case.
+
+    `aliases` (entity, alias) may be of any size: runs of words as long as the longest alias are joined with it, so texts are read once whatever
+    the number of entities. An alias inside a longer alias of the same entity counts in both. Words are runs of letters, digits and
+    underscores, and runs of blanks and punctuation between them don't matter. Null texts, entities and aliases have none.
+    """
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+    known = aliases.where("entity IS NOT NULL AND alias IS NOT NULL").select("entity", words(F.col("alias")).alias("w")).where(F.size("w") > 0).select("entity", F.array_join("w", " ").alias("term"), F.size("w").alias("size")).distinct()
+    known = materialize(known, "aliases")
+    sizes = sorted(r["size"] for r in known.select("size").distinct().collect())
+    if not sizes:
+        return texts.select(key, F.lit("").alias("entity"), F.lit(0).cast("bigint").alias("n")).where(F.lit(False))
+    listed = texts.where(F.col(text).isNotNull()).select(key, words(F.col(text)).alias("w"))
+    starts = lambda n: F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - (n - 1))).otherwise(F.array().cast("array<int>"))
+    joined = lambda n: F.transform(starts(n), lambda i: F.array_join(F.slice("w", i, n), " "))
+    runs = None
+    for n in sizes:
+        part = listed.select(key, F.explode("w" if n == 1 else joined(n)).alias("term"))
+        runs = part if runs is None else runs.unionByName(part)
+    side = F.broadcast(known.drop("size")) if small(known, 200) else known.drop("size")
+    return runs.join(side, "term").groupBy(key, "entity").agg(F.count("*").alias("n"))
+
+
 def mentions(text: Column, aliases: list[str]) -> Column:
     """How often any of the aliases occurs as whole words, longer ones first, ignoring case."""
     import re

@@ -9,7 +9,7 @@ from sightline.operators import logaudit, requests, robots
 from sightline.operators.requests import top_per_group
 from sightline.plans.exports import _CTE as _EXPORTS
 from sightline.plans.exports import _rows as _exported
-from sightline.plans.logs import _BAND, _BAND_NAME, _CTE, _FAMILY, _MEDIA, _ROBOTS, SPLIT, _path, _periods, _rows
+from sightline.plans.logs import _BAND, _BAND_NAME, _CTE, _FAMILY, _MEDIA, SPLIT, _path, _periods, _rows
 from sightline.plans.problems import _RECORDS
 from sightline.session import load
 from sightline.sources import exports

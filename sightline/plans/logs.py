@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.functions import logs
-from sightline.functions.normalize import path_family, path_of
+from sightline.functions.normalize import path_family
 from sightline.operators import requests, robots
 from sightline.session import load
 

@@ -7,16 +7,14 @@ from pyspark.sql import functions as F
 
 from sightline.functions import stats
 from sightline.functions.normalize import host, owned
-from sightline.operators import graph, panel, resampling, tables, textsim
+from sightline.operators import graph, panel, resampling, tables
 from sightline.operators.ordered import last_before
 from sightline.plans.exports import _TFIDF, _similar
-from sightline.plans.panel import _CTE, _P_SIGN, OWNED, _citations, _observations, _rounded
+from sightline.plans.panel import _CTE, _NAMED, _P_SIGN, OWNED, _citations, _mentions, _observations, _rounded
 from sightline.session import load, materialize
 from sightline.sources import files
 from sightline.streaming import activity
 
-ENTITIES = {"sitemap": ["sitemap", "site map"], "answer block": ["answer block", "answer blocks"], "robots rule": ["robots rule", "robots rules"], "canonical link": ["canonical link", "canonical links"]}
-
 
 def g7_rank_weighted_edges(spark, sf_dir):
     """Every pair of domains that a provider cites for the same prompt, with its rank-weighted strength."""
@@ -63,15 +61,14 @@ def g10_bridging_prompts(spark, sf_dir):
 
 
 def p17_entity_mentions(spark, sf_dir):
-    obs = _observations(spark, sf_dir)
-    counts = F.explode(F.array(*[F.struct(F.lit(n).alias("entity"), textsim.mentions(F.col("answer_text"), a).alias("n")) for n, a in ENTITIES.items()]))
-    return obs.where("answer_text IS NOT NULL").select(counts.alias("m")).groupBy("m.entity").agg(F.count_if(F.col("m.n") > 0).alias("answers"), F.sum("m.n").cast("bigint").alias("mentions"))
+    """Answers that mention each listed entity, and how often."""
+    return _mentions(spark, sf_dir).groupBy("entity").agg(F.count("*").alias("answers"), F.sum("n").alias("mentions"))
 
 
 def a38_entity_comentions(spark, sf_dir):
-    obs = _observations(spark, sf_dir).where("answer_text IS NOT NULL")
-    rows = obs.select("observation_id", F.explode(F.array_compact(F.array(*[F.when(textsim.mentions(F.col("answer_text"), a) > 0, n) for n, a in ENTITIES.items()]))).alias("entity"))
-    return _rounded(graph.cocitation(rows.withColumn("scope", F.lit("all")), ["scope"], "observation_id", "entity"), "jaccard", "lift", "given_left", "given_right")
+    """How often listed entities are mentioned in the same answer."""
+    rows = _mentions(spark, sf_dir).withColumn("scope", F.lit("all"))
+    return _rounded(graph.cocitation(rows, ["scope"], "observation_id", "entity"), "jaccard", "lift", "given_left", "given_right")
 
 
 def p18_answer_lengths(spark, sf_dir):
@@ -141,12 +138,11 @@ def s_sessions(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (g7_rank_weighted_edges, g9_edge_comparison, x5_threshold_sweep_all, g10_bridging_prompts, p17_entity_mentions, a38_entity_comentions, p18_answer_lengths, a40_sampling_quotas, w9_capture_gaps, w7_downsampled_series, a30_owned_gap_pairs, k8_bootstrap_intervals, s5_sitemap_entries, s_stream_days, s_sessions)}
-_ENTITY = ", ".join(f"{{'entity': '{n}', 'n': len(regexp_extract_all(' ' || lower(answer_text) || ' ', '[^\\p{{L}}\\p{{N}}_](?:{'|'.join(x.replace(' ', '\\s+') for x in sorted(a, key=lambda x: (-len(x), x)))})(?:$|[^\\p{{L}}\\p{{N}}_])'))}}" for n, a in ENTITIES.items())
 _KEYS = "panel_id, provider, prompt_id"
 ORACLES = {
     "g7_rank_weighted_edges": _CTE + ", w AS (SELECT provider, prompt_id, domain, sum(1 / log2(rank + 1)) w FROM c WHERE provider IS NOT NULL GROUP BY ALL), s AS (SELECT *, w / sum(w) OVER (PARTITION BY provider, prompt_id) AS s FROM w) SELECT provider, a.domain left_item, b.domain right_item, round(sum(sqrt(a.s * b.s)), 9) strength FROM s a JOIN s b USING (provider, prompt_id) WHERE a.domain < b.domain GROUP BY 1, 2, 3",
-    "p17_entity_mentions": _CTE + f", m AS (SELECT unnest([{_ENTITY}]) AS m FROM o WHERE answer_text IS NOT NULL) SELECT m.entity AS entity, count(*) FILTER (m.n > 0) answers, CAST(sum(m.n) AS BIGINT) mentions FROM m GROUP BY 1",
-    "a38_entity_comentions": _CTE + f", m AS (SELECT DISTINCT observation_id, m.entity AS e FROM (SELECT observation_id, unnest([{_ENTITY}]) AS m FROM o WHERE answer_text IS NOT NULL) WHERE m.n > 0), k AS (SELECT e, count(*) n FROM m GROUP BY 1), t AS (SELECT count(DISTINCT observation_id) n FROM m), p AS (SELECT a.e x, b.e y, count(*) n FROM m a JOIN m b USING (observation_id) WHERE a.e < b.e GROUP BY 1, 2) SELECT 'all' AS scope, x AS left_item, y AS right_item, p.n AS \"both\", kx.n AS left_units, ky.n AS right_units, t.n AS units, round(p.n / (kx.n + ky.n - p.n), 9) jaccard, round(p.n * t.n / (kx.n * ky.n), 9) lift, round(p.n / kx.n, 9) given_left, round(p.n / ky.n, 9) given_right FROM p JOIN k kx ON kx.e = x JOIN k ky ON ky.e = y, t",
+    "p17_entity_mentions": _CTE + _NAMED + " SELECT entity, count(*) answers, CAST(sum(n) AS BIGINT) mentions FROM mn GROUP BY 1",
+    "a38_entity_comentions": _CTE + _NAMED + ", k AS (SELECT entity e, count(*) n FROM mn GROUP BY 1), t AS (SELECT count(DISTINCT observation_id) n FROM mn), p AS (SELECT a.entity x, b.entity y, count(*) n FROM mn a JOIN mn b USING (observation_id) WHERE a.entity < b.entity GROUP BY 1, 2) SELECT 'all' AS scope, x AS left_item, y AS right_item, p.n AS \"both\", kx.n AS left_units, ky.n AS right_units, t.n AS units, round(p.n / (kx.n + ky.n - p.n), 9) jaccard, round(p.n * t.n / (kx.n * ky.n), 9) lift, round(p.n / kx.n, 9) given_left, round(p.n / ky.n, 9) given_right FROM p JOIN k kx ON kx.e = x JOIN k ky ON ky.e = y, t",
     "p18_answer_lengths": _CTE + r", w AS (SELECT provider, len(regexp_split_to_array(trim(answer_text), '[ \t\n\x0B\f\r]+')) n FROM o WHERE trim(answer_text) <> '') SELECT provider, CASE WHEN n <= 10 THEN '1-10' WHEN n <= 20 THEN '11-20' WHEN n <= 40 THEN '21-40' ELSE '41+' END AS band, count(*) answers FROM w GROUP BY 1, 2",
     "a40_sampling_quotas": _CTE + ", s AS (SELECT topic, count(DISTINCT prompt_id) prompts FROM o WHERE topic IS NOT NULL GROUP BY 1), e AS (SELECT *, prompts * 200 / (SELECT sum(prompts) FROM s) AS x FROM s), r AS (SELECT *, row_number() OVER (ORDER BY round(x - floor(x), 9) DESC, topic) k, 200 - sum(floor(x)) OVER () AS rest FROM e) SELECT topic, prompts, CAST(floor(x) + CASE WHEN k <= rest THEN 1 ELSE 0 END AS BIGINT) AS quota FROM r",
     "w9_capture_gaps": _CTE + ", g AS (SELECT panel_id, CAST(floor(epoch(received_at)) AS BIGINT) - lag(CAST(floor(epoch(received_at)) AS BIGINT)) OVER (PARTITION BY panel_id ORDER BY received_at) AS gap FROM o WHERE panel_id IS NOT NULL) SELECT panel_id, max(gap) largest_gap, count(*) captures FROM g GROUP BY 1",

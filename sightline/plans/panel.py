@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.functions.normalize import host, label, owned, page_url
-from sightline.operators import graph, panel, requests
+from sightline.operators import graph, panel, requests, textsim
 from sightline.session import load
 
 SPLIT = "2026-06-01"
@@ -85,9 +85,22 @@ def a27_opportunities(spark, sf_dir):
     return panel.opportunities(obs, rows, ["panel_id", "provider", "prompt_id"], owned(F.col("domain"), OWNED), "page")
 
 
+#: Page parts and reports that answers are searched for, an example of an entity list; each also in the plural.
+ENTITIES = ["sitemap", "answer block", "robots rule", "canonical link", "heading outline", "query report", "status page", "glossary entry", "author note", "review summary", "comparison page", "contact block"]
+
+
+def _mentions(spark, sf_dir):
+    """(observation_id, entity, n): mentions of ENTITIES in answers."""
+    answers = _observations(spark, sf_dir).where("answer_text IS NOT NULL")
+    aliases = spark.createDataFrame([(e, a) for e in ENTITIES for a in (e, e + "s")], "entity STRING, alias STRING")
+    return textsim.mention_rows(answers, "observation_id", "answer_text", aliases)
+
+
 def a29_matched_association(spark, sf_dir):
+    """Citations of answers that mention a listed entity against answers that mention none, by provider and month."""
     obs = _observations(spark, sf_dir).where("provider IS NOT NULL AND answer_text IS NOT NULL AND complete")
-    exposed = obs.withColumn("mentions", F.regexp_like("answer_text", F.lit(r"(?i)\bsitemap\b")))
+    named = _mentions(spark, sf_dir).select("observation_id", F.lit(True).alias("mentions")).distinct()
+    exposed = obs.join(named, "observation_id", "left").withColumn("mentions", F.coalesce("mentions", F.lit(False)))
     own = F.exists(F.transform(F.coalesce("cited_urls", F.array().cast("array<string>")), lambda u: owned(host(u), OWNED)), lambda x: F.coalesce(x, F.lit(False)))
     many = F.size(F.coalesce("cited_urls", F.array().cast("array<string>"))) >= 3
     return _rounded(panel.matched_association(exposed.withColumn("owned_cited", own).withColumn("three_or_more", many), "mentions", ["owned_cited", "three_or_more"], ["provider", "month"]), "with_mean", "without_mean", "mean_difference", "p")
@@ -150,8 +163,9 @@ def g3_components_all(spark, sf_dir):
 
 
 def g4_communities(spark, sf_dir):
-    """Communities of the domains of each panel over all its co-citation edges."""
-    return graph.communities(_panel_edges(spark, sf_dir), ["panel_id"], "left_item", "right_item", "both")
+    """Communities of all domains of each panel over all its co-citation edges."""
+    nodes = _citations(spark, sf_dir).where("panel_id IS NOT NULL").select("panel_id", F.col("domain").alias("item"))
+    return graph.communities(_panel_edges(spark, sf_dir), ["panel_id"], "left_item", "right_item", "both", nodes=nodes)
 
 
 def g5_rand_index(spark, sf_dir):
@@ -177,6 +191,9 @@ WITH o AS (SELECT observation_id, any_value(panel_id) panel_id, any_value(prompt
  h AS (SELECT observation_id, url, rank, {_HOST.format("url")} AS domain FROM u),
  c AS (SELECT o.* EXCLUDE (cited_urls), d.domain, d.rank, d.url FROM (SELECT observation_id, domain, min(rank) AS rank, arg_min(url, rank) AS url FROM h WHERE domain IS NOT NULL GROUP BY 1, 2) d JOIN o USING (observation_id))
 """
+#: Mentions of entities: mn holds observation_id, entity, n.
+_NAMED = f", nm AS (SELECT entity, unnest([entity, entity || 's']) AS term FROM (SELECT unnest({ENTITIES}) AS entity))" + r""", aw AS (SELECT observation_id, regexp_extract_all(lower(answer_text), '[\p{L}\p{N}_]+') AS w FROM o WHERE answer_text IS NOT NULL),
+    ag AS (SELECT observation_id, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS term FROM aw, (SELECT unnest([1, 2]) AS k) WHERE len(w) >= k), mn AS (SELECT observation_id, entity, count(*) n FROM ag JOIN nm USING (term) GROUP BY 1, 2)"""
 _KEYS = "panel_id, provider, prompt_id"
 #: ln n! for the oracles
 _LF = "lgamma({0} + 1)"
@@ -230,7 +247,7 @@ ORACLES = {
         pg AS (SELECT *, lower(regexp_extract(trim(url), '^(?i)(https?)://', 1)) || '://' || regexp_replace(lower(regexp_extract(trim(url), '^(?i)https?://([^/?#]+)', 1)), CASE WHEN lower(trim(url)) LIKE 'https:%' THEN ':443$' ELSE ':80$' END, '') ||
         CASE WHEN regexp_extract(trim(url), '^(?i)https?://[^/?#]+([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(trim(url), '^(?i)https?://[^/?#]+([^?#]*)', 1) END AS page FROM c JOIN gap USING ({_KEYS}))
         SELECT page, count(DISTINCT ({_KEYS})) gap_groups, count(DISTINCT observation_id) observations FROM pg WHERE page IS NOT NULL GROUP BY 1""",
-    "a29_matched_association": _CTE + f""", x AS (SELECT provider, month, regexp_matches(answer_text, '(?i)\\bsitemap\\b') AS e, CAST(coalesce(len(list_filter(list_transform(cited_urls, lambda u: {_HOST.format("u")}), lambda d: d = 'test' OR d LIKE '%.test')), 0) > 0 AS INTEGER) o1, CAST(coalesce(len(cited_urls), 0) >= 3 AS INTEGER) o2
+    "a29_matched_association": _CTE + _NAMED + f""", x AS (SELECT provider, month, observation_id IN (SELECT observation_id FROM mn) AS e, CAST(coalesce(len(list_filter(list_transform(cited_urls, lambda u: {_HOST.format("u")}), lambda d: d = 'test' OR d LIKE '%.test')), 0) > 0 AS INTEGER) o1, CAST(coalesce(len(cited_urls), 0) >= 3 AS INTEGER) o2
         FROM o WHERE provider IS NOT NULL AND answer_text IS NOT NULL AND complete), a AS (SELECT provider, month, avg(o1) FILTER (e) a1, avg(o1) FILTER (NOT e) a0, avg(o2) FILTER (e) b1, avg(o2) FILTER (NOT e) b0 FROM x GROUP BY 1, 2 HAVING count(*) FILTER (e) > 0 AND count(*) FILTER (NOT e) > 0),
         r AS (SELECT 'owned_cited' AS outcome, a1 w, a0 v FROM a UNION ALL SELECT 'three_or_more', b1, b0 FROM a), g AS (SELECT outcome, count(*) strata, avg(w) wm, avg(v) vm, avg(w - v) md, count(*) FILTER (w > v) higher, count(*) FILTER (w < v) lower FROM r GROUP BY 1)
         SELECT outcome, strata, round(wm, 9) with_mean, round(vm, 9) without_mean, round(md, 9) mean_difference, higher, lower, round({_P_SIGN.format(g="higher", l="lower")}, 9) AS p FROM g""",

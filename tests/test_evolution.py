@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sightline.functions import logs, stats
-from sightline.operators import crawl, evolution, logaudit, requests, resampling, robots, site
+from sightline.operators import crawl, evolution, logaudit, requests, resampling, robots, site, textsim
 from sightline.sources import exports
 
 
@@ -194,6 +194,13 @@ def test_resampling_kinds(spark):
     assert resampling.bootstrap_concentration(rows.limit(0), "provider", "unit", "domain").count() == 0 and resampling.bootstrap_strata(spark.createDataFrame([("g", "a", None)], "g STRING, s STRING, v DOUBLE"), "g", "s", "v").count() == 0
 
 
+def test_mention_rows(spark):
+    aliases = spark.createDataFrame([("map", "site map"), ("map", "Sitemap"), ("map", "sitemap"), ("rule", "robots-rule"), ("x", None), (None, "y"), ("z", "--")], "entity STRING, alias STRING")
+    texts = spark.createDataFrame([(1, "A site  map, a SITEMAP; sitemaps"), (2, "Robots Rule robots rule!"), (3, ""), (4, None), (5, "map"), (6, "w " * 50_000)], "id INT, t STRING")
+    assert {tuple(r) for r in textsim.mention_rows(texts, "id", "t", aliases).collect()} == {(1, "map", 2), (2, "rule", 2)}
+    assert textsim.mention_rows(texts, "id", "t", aliases.limit(0)).count() == 0
+
+
 def test_kinds_of_exports(spark):
     cases = {("url", "query"): "query-page-mapping", ("query",): "grounding-queries", ("citations",): "overview", ("topic", "intent"): "topic-intent-summary", ("intent",): "intent-summary", ("date", "topic"): "time-series"}
     df = spark.createDataFrame([(list(f), k) for f, k in cases.items()] + [(None, None)], "fields ARRAY<STRING>, k STRING")
