@@ -126,7 +126,8 @@ def _least_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             a, b = root(u), root(v)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    yield pd.DataFrame({"node": list(parent), "component": [root(x) for x in parent]})
+    if parent:
+        yield pd.DataFrame({"node": list(parent), "component": [root(x) for x in parent]})
 
 
 def components(edges: DataFrame, left: str, right: str, task_edges: int = 500_000) -> DataFrame:
